@@ -46,6 +46,30 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Workspace:
+    """Tables of an iterative operator in the shared folder, removed with the workspace.
+
+    Written tables carry nothing of the plans that made them. ``checkpoint`` keeps the constraints of its plan, which
+    multiply when every round joins the tables of the round before; so rounds write, and only results are checkpointed.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root, self.made = spark, scratch(spark, label), 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.root}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.root)
+
+
 def reset_jobs(spark: SparkSession, text: str) -> None:
     """Name the following jobs, so that the rounds of an iterative operator can be told apart in the UI."""
     spark.sparkContext.setJobDescription(text)
