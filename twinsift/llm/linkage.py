@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.readings import clean_path
-from ..plans.runtime import cut, reset_jobs
+from ..plans.runtime import Workspace, cut, reset_jobs
 from .survivors import saved_groups
 
 #: A graph of n vertices needs about log2(n) rounds; more than this many means a defect, not a large graph.
@@ -25,7 +25,7 @@ def path_links(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return matched.unionByName(stars).where(F.col("a") != F.col("b"))
 
 
-def numbered(links: DataFrame) -> DataFrame:
+def numbered(links: DataFrame, work: Workspace) -> DataFrame:
     """``(path, id)`` of every linked path, with ids in path order: the smallest id of a group is its smallest path.
 
     Range partitions in path order, sorted inside, make ``monotonically_increasing_id`` follow the order. The table is
@@ -33,54 +33,55 @@ def numbered(links: DataFrame) -> DataFrame:
     """
     paths = links.select(F.explode(F.array("a", "b")).alias("path")).distinct()
     ordered = paths.repartitionByRange("path").sortWithinPartitions("path")
-    return cut(ordered.select("path", F.monotonically_increasing_id().alias("id")))
+    return work.keep(ordered.select("path", F.monotonically_increasing_id().alias("id")))
 
 
-def _jumped(near: DataFrame) -> DataFrame:
+def _jumped(near: DataFrame, work: Workspace) -> DataFrame:
     """``(u, label)``: the pointers ``(u, p)`` followed to the end, doubling the length of each step."""
     at = near
     for _ in range(MOST_ROUNDS):
         up = at.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        at = cut(at.join(up, "p").select("u", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
+        at = work.keep(at.select("u", "p").join(up, "p").select("u", F.col("pp").alias("p"), (F.col("pp") != F.col("p")).alias("moved")))
         if at.where("moved").isEmpty():
             return at.select("u", F.col("p").alias("label"))
-        at = at.select("u", "p")
     raise RuntimeError("pointers form a cycle")
 
 
-def min_labels(edges: DataFrame) -> DataFrame:
+def min_labels(edges: DataFrame, work: Workspace) -> DataFrame:
     """``(id, label)`` for every vertex of the edges ``(u, v)``: the smallest id of its component.
 
     Each round takes for every vertex the minimum over itself and its neighbours, follows these pointers to their ends by
     pointer jumping (label[label[v]], so a chain of n links takes log2(n) jumps), and rewrites the edges to the labels of
     their ends. Edges whose ends agree are gone, repeats merge, so the edge table shrinks by a large factor each round
-    and only the vertices of the remaining edges take part. Labels and edges are checkpointed each round; the rounds end
-    when no edge between different labels is left, that is when no label can change any more. Minima are combined
-    map-side, so a hub with a third of all edges costs one row per task; every label table is unique per vertex, so AQE
-    can split a hot key of the joins.
+    and only the vertices of the remaining edges take part. Labels and edges are written to the shared folder each round;
+    the rounds end when no edge between different labels is left, that is when no label can change any more. Minima are
+    combined map-side, so a hub with a third of all edges costs one row per task; every label table is unique per vertex,
+    so AQE can split a hot key of the joins.
     """
-    spark = edges.sparkSession
-    live = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct())
-    labels = None
+    live = work.keep(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct())
+    maps = []
     for n in range(MOST_ROUNDS):
-        reset_jobs(spark, f"min labels: round {n + 1}")
+        reset_jobs(edges.sparkSession, f"min labels: round {n + 1}")
         if live.isEmpty():
             break
         ends = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = cut(ends.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")))
-        jumped = _jumped(near)
-        if labels is None:
-            labels = jumped.select(F.col("u").alias("id"), "label")
-        else:
-            moved = jumped.select(F.col("u").alias("label"), F.col("label").alias("to"))
-            labels = cut(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        near = work.keep(ends.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")))
+        jumped = _jumped(near, work)
+        maps.append(jumped)
         of_u = jumped.select("u", F.col("label").alias("lu"))
         of_v = jumped.select(F.col("u").alias("v"), F.col("label").alias("lv"))
-        live = cut(live.join(of_u, "u").join(of_v, "v").where(F.col("lu") != F.col("lv")).select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct())
+        live = work.keep(live.join(of_u, "u").join(of_v, "v").where(F.col("lu") != F.col("lv")).select(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v")).distinct())
     else:
         raise RuntimeError(f"labels still change after {MOST_ROUNDS} rounds")
-    reset_jobs(spark, "")
-    return edges.select(F.col("u").alias("id"), F.col("u").alias("label")).where(F.lit(False)) if labels is None else labels
+    reset_jobs(edges.sparkSession, "")
+    if not maps:
+        return edges.select(F.col("u").alias("id"), F.col("u").alias("label")).where(F.lit(False))
+    # labels of later rounds are labels of ever fewer vertices: compose from the last and smallest map backwards
+    label = maps.pop()
+    while maps:
+        later = label.select(F.col("u").alias("label"), F.col("label").alias("to"))
+        label = work.keep(maps.pop().join(later, "label", "left").select("u", F.coalesce("to", "label").alias("label")))
+    return label.select(F.col("u").alias("id"), "label")
 
 
 def path_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -89,11 +90,12 @@ def path_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     Self-links, nulls and blanks give no row; repeats and either order of a pair change nothing; an empty input gives an
     empty result.
     """
-    links = path_links(pairs, groups)
-    ids = numbered(links)
-    edges = links.join(ids.select(F.col("path").alias("a"), F.col("id").alias("u")), "a").join(ids.select(F.col("path").alias("b"), F.col("id").alias("v")), "b").select("u", "v")
-    labelled = min_labels(edges).join(ids, "id").select("path", "label")
-    return labelled.join(ids.select(F.col("id").alias("label"), F.col("path").alias("group_path")), "label").select("path", "group_path")
+    with Workspace(pairs.sparkSession, "linkage") as work:
+        links = work.keep(path_links(pairs, groups))
+        ids = numbered(links, work)
+        edges = links.join(ids.select(F.col("path").alias("a"), F.col("id").alias("u")), "a").join(ids.select(F.col("path").alias("b"), F.col("id").alias("v")), "b").select("u", "v")
+        labelled = min_labels(edges, work).join(ids, "id").select("path", "label")
+        return cut(labelled.join(ids.select(F.col("id").alias("label"), F.col("path").alias("group_path")), "label").select("path", "group_path"))
 
 
 LINKAGE_SQL = r"""
