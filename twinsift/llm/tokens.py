@@ -33,7 +33,8 @@ def count_tokens(vocabulary: str = VOCABULARY):
         e = encoder(vocabulary)
         return pd.Series([len(e.encode_ordinary(t)) if t else 0 for t in text], dtype="int64")
 
-    return count
+    # a filter on the count would else be evaluated once before the repartitioning below it and once after
+    return count.asNondeterministic()
 
 
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
