@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .. import constants as K
 
@@ -94,7 +95,7 @@ def partial_digest(content: Column) -> Column:
     return F.md5(F.when(n > K.CHUNK_BYTES, F.concat(head, tail)).otherwise(head))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def entropy(head: pd.Series) -> pd.Series:
     """Bits per byte of binary values, rounded to 4 digits; 0 for empty ones, null for null."""
 
@@ -123,7 +124,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), common / (F.size(a) + F.size(b) - common)).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Sequence ratio 2M/T of two strings as ``difflib`` defines it; depends on the order of its arguments."""
     from difflib import SequenceMatcher

@@ -116,7 +116,7 @@ def validated(clusters: DataFrame, pairs: DataFrame, min_similarity: float = 0.6
 
 def found_share(expected: DataFrame, found: DataFrame) -> DataFrame:
     """One row ``(expected, found, missing, pass_rate, passed)`` for two tables of pairs ``(a, b)`` in any order; passed from 80 % on."""
-    norm = lambda d: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct()
+    norm = lambda d: d.dropna(subset=["a", "b"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     hit = norm(expected).join(norm(found).withColumn("hit", F.lit(1)), ["a", "b"], "left")
     t = hit.agg(F.count(F.lit(1)).alias("expected"), F.coalesce(F.sum("hit"), F.lit(0)).alias("found"))
     rate = F.when(F.col("expected") > 0, F.round(100 * F.col("found") / F.col("expected"), 2)).otherwise(0.0)

@@ -65,7 +65,7 @@ def html_rows(rows: DataFrame) -> DataFrame:
 
 def text_rows(rows: DataFrame) -> DataFrame:
     """One line per exported row of the text report; all three marks are told apart, digests cut to 48 characters."""
-    return rows.select("group", "file_index", F.format_string("[%s] %d/%d %s (%d bytes) %s", "suggestion", "group", "file_index", "path", "size", F.left("hash", F.lit(48))).alias("value"))
+    return rows.select("group", "file_index", F.format_string("[%s] %s/%d %s (%d bytes) %s", "suggestion", "group", "file_index", "path", "size", F.left("hash", F.lit(48))).alias("value"))
 
 
 def write_lines(lines: DataFrame, folder: str) -> None:

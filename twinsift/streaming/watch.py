@@ -34,7 +34,8 @@ def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 def watch(feed: DataFrame) -> DataFrame:
     """Changes of a stream ``(key, ts, seq, op, digest)``. State is one digest per living key; rows of a micro-batch are ordered by time."""
-    return feed.where(F.col("key").isNotNull()).select("key", "ts", "seq", "op", "digest").groupBy("key").applyInPandasWithState(_step, CHANGE, "digest string", "append", GroupStateTimeout.NoTimeout)
+    known = (F.col("op") == "delete") | F.col("digest").isNotNull()
+    return feed.where(F.col("key").isNotNull() & known).select("key", "ts", "seq", "op", "digest").groupBy("key").applyInPandasWithState(_step, CHANGE, "digest string", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_exact(feed: DataFrame, known: DataFrame, lateness: str = "1 hour") -> DataFrame:
