@@ -216,3 +216,17 @@ def test_settings():
         Settings().with_changes(colour=1)
     with pytest.raises(ValueError, match="cleanup_mode"):
         Settings(cleanup_mode="WILD")
+
+
+def test_places_and_predecessors_of_a_group_over_many_partitions(spark):
+    from pyspark.sql import Window
+
+    from twinsift.operators.ranks import place_within, previous
+
+    df = spark.range(5_000).select(F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 50).cast("int").alias("g"), F.pmod(F.xxhash64("id"), F.lit(97)).alias("a"), "id")
+    w = Window.partitionBy("g").orderBy("a", "id")
+    want = sorted(map(tuple, df.select("g", "a", "id", F.row_number().over(w), F.lag("id").over(w)).collect()), key=lambda r: r[2])
+    places = place_within(df, ["g"], [F.col("a").asc(), F.col("id").asc()], "n")
+    got = previous(places, ["g"], ["a", "id"], "id", "p")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == want
+    assert place_within(df.limit(0), ["g"], [F.col("id").asc()], "n").count() == 0

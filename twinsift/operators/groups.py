@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.features import partial_digest, quick_digest
+from .ranks import place_within
 
 
 def keys_held_by_many(files: DataFrame, *keys: str) -> DataFrame:
@@ -74,13 +75,8 @@ def risk_levels(members: DataFrame) -> DataFrame:
 
 def ranked(members: DataFrame) -> DataFrame:
     """Groups with their place in the report: exact and links first, then by score, ties by id.
-
-    The place is a distributed rank: range partitions in report order, and offsets from one count per partition.
     """
     g = members.groupBy("group_id", "group_type", "score").agg(F.count(F.lit(1)).alias("n_files"))
     exact = F.coalesce(F.col("group_type").isin("exact", "hardlink"), F.lit(False))
-    keys = [F.when(exact, 0).otherwise(1).asc(), F.col("score").desc_nulls_last(), F.col("group_id").asc()]
-    parts = g.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    inside = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)))
-    offsets = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return inside.join(F.broadcast(offsets), "_part").select((F.col("_at") + F.col("offset")).cast("bigint").alias("place"), "group_id", "group_type", "score", "n_files")
+    order = [F.when(exact, 0).otherwise(1).asc(), F.col("score").desc_nulls_last(), F.col("group_id").asc()]
+    return place_within(g.withColumn("all", F.lit(1)), ["all"], order, "place").select("place", "group_id", "group_type", "score", "n_files")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import place_within
+
 
 def summary(members: DataFrame, selection: DataFrame) -> DataFrame:
     """One row: groups, files, reclaimable bytes, groups by type, and files by mark."""
@@ -41,15 +43,11 @@ def category_histogram(files: DataFrame) -> DataFrame:
 
 
 def export_rows(members: DataFrame, selection: DataFrame) -> DataFrame:
-    """One row per member as the CSV export has it; places count from 1 in the order of the stored index.
-
-    The place is the rank of a member inside its group: a pair of range-free counts would not do for ties, so a window
-    ranks each group, which is one saved list.
-    """
+    """One row per member as the CSV export has it; places count from 1 in the order of the stored index."""
     m = members.join(selection.select("group_id", "path", "suggestion"), ["group_id", "path"], "left")
-    place = F.row_number().over(Window.partitionBy("group_id").orderBy("idx", "path"))
+    m = place_within(m.drop("parent"), ["group_id"], [F.col("idx").asc(), F.col("path").asc()], "file_index")
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return m.select(F.col("group_id").alias("group"), F.col("group_type").alias("type"), "score", place.cast("bigint").alias("file_index"), F.coalesce("suggestion", F.lit("KEEP")).alias("suggestion"), F.coalesce("keep_score", F.lit(100)).alias("quality"), "path", F.coalesce("size", F.lit(0)).alias("size"), text("hash").alias("hash"), text("magic_type").alias("mime"))
+    return m.select(F.col("group_id").alias("group"), F.col("group_type").alias("type"), "score", "file_index", F.coalesce("suggestion", F.lit("KEEP")).alias("suggestion"), F.coalesce("keep_score", F.lit(100)).alias("quality"), "path", F.coalesce("size", F.lit(0)).alias("size"), text("hash").alias("hash"), text("magic_type").alias("mime"))
 
 
 def export_nested(rows: DataFrame) -> DataFrame:
