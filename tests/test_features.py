@@ -121,3 +121,22 @@ def test_pair_score_rules(spark, a, b, score):
     row = "struct<" + ",".join(f"{c}:{t}" for c, t in SCORED.items()) + ">"
     df = spark.createDataFrame([(record(**a), record(**b))], f"a {row}, b {row}")
     assert df.select(pair_score("a", "b")).first()[0] == score
+
+
+def test_extractors(spark):
+    import numpy as np
+    from pyspark.sql.types import LongType
+
+    from twinsift.functions.extractors import audio_tags, dct_hash, extractor, pgm_hash
+
+    tag = b"TAG" + b"Song".ljust(30, b"\0") + b"Band".ljust(30) + b"Disc".ljust(30, b"\0") + b"1999" + b"\0" * 31
+    y, x = np.mgrid[:40, :50]
+    picture = (128 + 60 * np.sin(x / 7) + 60 * np.cos(y / 5)).astype(np.uint8)
+    brighter = np.clip(picture.astype(int) + 6, 0, 255).astype(np.uint8)
+    rows = [b"ID3..." + tag, tag[:-1], b"", None, b"P5 50 40 255\n" + picture.tobytes(), b"P5 50 40 255\n" + brighter.tobytes(), b"P5 9 9 255\nshort"]
+    size = extractor(lambda: 3, lambda m, c: m * len(c) if c[:1] != b"T" else 1 // 0, LongType())
+    out = values(spark, [(bytearray(r) if r is not None else None,) for r in rows], "c binary", audio_tags(F.col("c")), pgm_hash("c"), size("c"))
+    assert out[0][0] == {"title": "Song", "artist": "Band", "album": "Disc", "year": "1999"} and [o[0] for o in out[1:]] == [None] * 6
+    assert out[4][1] == dct_hash(picture) and out[6][1] is None and out[0][1] is None
+    assert (int(out[4][1], 16) ^ int(out[5][1], 16)).bit_count() <= 8
+    assert [o[2] for o in out[:4]] == [3 * len(rows[0]), None, 0, None]

@@ -80,3 +80,9 @@ def ranked(members: DataFrame) -> DataFrame:
     exact = F.coalesce(F.col("group_type").isin("exact", "hardlink"), F.lit(False))
     order = [F.when(exact, 0).otherwise(1).asc(), F.col("score").desc_nulls_last(), F.col("group_id").asc()]
     return place_within(g.withColumn("all", F.lit(1)), ["all"], order, "place").select("place", "group_id", "group_type", "score", "n_files")
+
+
+def neighbours(places: DataFrame) -> DataFrame:
+    """``(group_id, previous_id, next_id)`` in report order, for stepping from group to group; null at the ends."""
+    at = lambda n, step: places.select((F.col("place") + step).alias("place"), F.col("group_id").alias(n))
+    return places.select("place", "group_id").join(at("previous_id", 1), "place", "left").join(at("next_id", -1), "place", "left").select("group_id", "previous_id", "next_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import constants as K
+from .functions.extractors import LOG_TAGS
 from .operators.heavy_keys import NEWEST_SQL
 from .sources.catalog import CONTENTS_SQL, MEMBERS_SQL, METADATA_SQL
 
@@ -215,6 +216,9 @@ def oracle_sql() -> dict[str, str]:
         "cosine_similarity": f"with {UNIT} select a.vec_id, round({COS}, 6) similarity from u a join u b on a.vec_id + 1 = b.vec_id",
         "knn_topk": f"with {UNIT}, s as (select a.vec_id query_id, b.vec_id vec_id, {COS} s from u a join u b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0), o as (select *, row_number() over (partition by query_id order by round(s, 9) desc, vec_id) place from s) select query_id, vec_id, place, round(s, 6) similarity from o where place <= 5",
         "semantic_pairs": f"with {UNIT} select a.vec_id query_id, b.vec_id vec_id, round({COS}, 6) similarity from u a join u b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0 and round({COS}, 6) >= 0.4",
+        "log_tags": "select case " + " ".join(f"when contains(lower(l), '{w}') then '{t}'" for w, t in LOG_TAGS) + " else 'debug' end tag, count(*) n_lines from (select unnest(string_split(text, chr(10))) l from documents) group by 1",
+        "recent_file": f + "parent, path from (select *, row_number() over (partition by parent order by mtime desc, path desc) rn from f where mtime is not null) where rn = 1",
+        "group_navigation": m + "group_id, lag(group_id) over w previous_id, lead(group_id) over w next_id from (select distinct group_id, group_type, score from m) window w as (order by case when group_type in ('exact', 'hardlink') then 0 else 1 end, score desc nulls last, group_id)",
         "watch_changes": "with e as (select user_id::varchar as key, ts, event_id seq, event_type = 'error' gone, md5(props) dg from events where user_id is not null and (event_type = 'error' or props is not null)), l as (select *, lag(case when not gone then dg end) over (partition by key order by ts, seq) b from e), v as (select *, case when gone and b is not null then 'deleted' when not gone and b is null then 'created' when not gone and b <> dg then 'modified' end event from l) select key, ts, seq, event from v where event is not null",
         "p5_found": NEWEST_SQL,
     }

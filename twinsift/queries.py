@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 from .functions import features as X
+from .functions.extractors import log_tag
 from .functions import keep
 from .functions.readings import clean_path
 from .functions.score import components, pair_score
@@ -171,6 +172,8 @@ def queries() -> dict[str, Query]:
     q["catalog_scan"] = contents(lambda c: c.select("path", "name", "ext", "size"))
     q["catalog_stat"] = files(lambda f: f.select("file_id", "path", "ext", "size", "mtime", "ctime", "inode", "device", "hash", "quick_hash", "is_locked", "is_system", "is_symlink"))
     q["doc_text_head"] = lambda s, d: table(s, d, "documents").select("doc_id", F.md5(F.left("text", F.lit(K.TEXT_HEAD_CHARS))).alias("head_md5"), F.length(F.left("text", F.lit(K.TEXT_HEAD_CHARS))).cast("bigint").alias("head_chars"))
+    q["log_tags"] = lambda s, d: table(s, d, "documents").select(F.explode(F.split("text", "\n")).alias("line")).groupBy(log_tag(col("line")).alias("tag")).agg(F.count(F.lit(1)).alias("n_lines"))
+    q["recent_file"] = files(lambda f: f.where(col("mtime").isNotNull()).groupBy("parent").agg(F.max(F.struct("mtime", "path")).alias("m")).select("parent", col("m.path").alias("path")))
     # filters
     q["filter_size_range"] = files(lambda f: filters.size_between(f, 4096, 1_048_576).select("path", "size"))
     q["filter_exclusions"] = files(lambda f: filters.excluding(f, ["Cache", "archive", ".tmp"]).select("path"))
@@ -222,6 +225,7 @@ def queries() -> dict[str, Query]:
     q["reclaimable"] = members(groups.group_totals)
     q["risk_level"] = members(groups.risk_levels)
     q["ranked_groups"] = members(groups.ranked)
+    q["group_navigation"] = members(lambda m: groups.neighbours(cut(groups.ranked(m))))
     q["eval_pass_rate"] = lambda s, d: pairs.found_share(table(s, d, "match_pairs").select(clean_path(col("path_a")).alias("a"), clean_path(col("path_b")).alias("b")).where(col("a") != col("b")), _stars(_members(s, d)))
     # decisions
     q["keeper"] = members(lambda m: policy.keepers(m).select("group_id", "keeper", "best_score", "n_files"))
