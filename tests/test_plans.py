@@ -4,7 +4,6 @@ import datetime as dt
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from twinsift.operators import changes
 from twinsift.plans import runtime
@@ -151,4 +150,3 @@ def test_metadata_reads_dirt(spark):
     assert (r.path, r.name, r.ext, r["size"], r.mtime, r.ctime, r.inode, r.hash, r.partial_hash, r.quick_hash, r.sha256_hash) == ("/d/x.TXT", None, "txt", None, None, None, None, "ab" * 16, None, None, "aa")
     assert (r.is_locked, r.is_symlink, r.parent, r.entropy, r.magic_type) == (False, True, "/d", None, None)
     assert catalog.metadata(spark.createDataFrame([], s)).count() == 0
-    assert F is not None
