@@ -5,8 +5,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
-
 from tests.check import same_rows
 from tests.graphs import components, shapes
 from twinsift.llm import queries as llm
@@ -194,4 +192,3 @@ def test_paths_with_dirt(spark):
     g = groups(spark, (1, ["/z", None, " /y", "", "/z"], {}), (2, ["/only", "/only "], {}), (3, ["/old", "/a"], {}, T - dt.timedelta(1)), (3, ["/new", "/c"], {}), (4, None, None))
     assert {tuple(x) for x in path_groups(p, g).collect()} == {("/a", "/a"), ("/b", "/a"), ("/c", "/a"), ("/new", "/a"), ("/y", "/y"), ("/z", "/y")}
     assert path_groups(p.limit(0), g.limit(0)).count() == 0
-    assert F is not None
