@@ -72,8 +72,8 @@ def bigram_pairs(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     """``(name_a, name_b, similarity)`` of distinct names whose bigram counts have a cosine above the threshold.
 
     An exact prefix-filtered join: with bigrams in a fixed order, rarest first, two vectors of cosine above t share a
-    bigram among those that hold more than 1 - t² of each vector's squared length; only such prefixes are joined, and
-    candidates are then measured in full.
+    bigram among those that hold more than 1 - t² of each vector's squared length; only such prefixes are joined. A bound
+    on the dot product drops most candidates inside the join; the rest are measured in full.
     """
     each = names.select(F.lower("name").alias("name")).where(F.length("name") > 1).distinct()
     grams = each.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substring("name", i, F.lit(2)))).alias("gram")).groupBy("name", "gram").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -81,9 +81,15 @@ def bigram_pairs(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     vector = grams.join(df, "gram").groupBy("name").agg(F.sort_array(F.collect_list(F.struct("df", "gram", "n"))).alias("v"), F.sum(F.col("n") * F.col("n")).alias("norm2"))
     # running rest of the squared length before each element: elements are in the prefix while it is at least t² of all
     rest = F.expr("aggregate(v, named_struct('left', norm2, 'keep', cast(array() as array<string>)), (s, x) -> named_struct('left', s.left - x.n * x.n, 'keep', case when s.left >= {0} * norm2 then array_append(s.keep, x.gram) else s.keep end), s -> s.keep)".format(threshold * threshold * (1 - 1e-12)))
-    v = vector.select("name", "norm2", F.map_from_entries(F.transform("v", lambda x: F.struct(x.gram, x.n))).alias("m"), rest.alias("prefix"))
-    p = v.select("name", F.explode("prefix").alias("gram"))
-    met = p.alias("x").join(p.alias("y"), (F.col("x.gram") == F.col("y.gram")) & (F.col("x.name") < F.col("y.name"))).select(F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b")).distinct()
+    # dot products are at most: common bigrams x largest counts; hashed bigrams can only make that bound looser
+    v = vector.select("name", "norm2", F.map_from_entries(F.transform("v", lambda x: F.struct(x.gram, x.n))).alias("m"), F.transform("v", lambda x: F.xxhash64(x.gram)).alias("grams"), F.array_max(F.transform("v", lambda x: x.n)).alias("top"), rest.alias("prefix"))
+    # few bytes meet in many pairs here, so partitions must not be merged by size: a stated number keeps them apart
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = v.select("name", "norm2", "grams", "top", F.explode("prefix").alias("gram")).repartition(4 * tasks, "gram")
+    x, y = p.alias("x"), p.alias("y")
+    bound = F.size(F.array_intersect("x.grams", "y.grams")) * F.col("x.top") * F.col("y.top")
+    near = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.name") < F.col("y.name")) & (bound * (1 + 1e-9) >= threshold * F.sqrt(F.col("x.norm2") * F.col("y.norm2")))
+    met = x.join(y, near).select(F.col("x.name").alias("name_a"), F.col("y.name").alias("name_b")).distinct()
     a = v.select(F.col("name").alias("name_a"), F.col("m").alias("ma"), F.col("norm2").alias("na"))
     b = v.select(F.col("name").alias("name_b"), F.col("m").alias("mb"), F.col("norm2").alias("nb"))
     dot = F.aggregate(F.map_keys("ma"), F.lit(0.0), lambda s, g: s + F.try_element_at("ma", g) * F.coalesce(F.try_element_at("mb", g), F.lit(0.0)))
