@@ -238,3 +238,29 @@ def test_round_trip_of_steps():
             continue
         if undo(bad, r, w) is not None:
             assert undo(bad, r, w) == t
+
+
+def feed(texts, written, read):
+    """Every third text as a feed gives it that was decoded wrongly throughout."""
+    return [t.encode(written).decode(read) if k % 3 == 0 else t for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("written, read", [("utf_8", "latin_1"), ("cp1252", "cp437")])
+def test_frequent_wrong_readings_are_no_usual_pairs(written, read):
+    some = random.Random(3)
+    words = "été leçon garçon près élève forêt où déjà naïf cœur".replace("œ", "oe").split() + "la le un de avec pour dans et il une".split()
+    texts = [" ".join(some.choice(words) for _ in range(60)) for _ in range(120)]
+    mixed = feed(texts, written, read)
+    plain = E.plain_texts(mixed, E.made_words({"fr": mixed}))
+    assert plain and set(plain) <= set(texts)
+
+
+def test_a_third_of_a_language_read_wrongly_is_found(spark, larger):
+    rows = [tuple(r) for r in larger.where("lang = 'fr' and text rlike '[éèàç]'").select("doc_id", "text", "lang").orderBy("doc_id").limit(240).collect()]
+    sound = fit_speller(docs(spark, *rows))
+    rows = [r for r in rows if not Restorer(sound).judge(r[1])[0]]
+    able = [(i, t, x) for i, t, x in rows if not t.isascii()]
+    bad = feed([t for _, t, _ in able], "utf_8", "latin_1")
+    judge = Restorer(fit_speller(docs(spark, *[(i, b, x) for (i, _, x), b in zip(able, bad)]))).judge
+    hit = [judge(b)[0] for (_, t, _), b in zip(able, bad) if b != t]
+    assert len(hit) > 10 and sum(hit) >= 0.95 * len(hit)
