@@ -41,6 +41,13 @@ def test_engine_finds_each_kind_once(engine):
     assert [(r.path, r.allowed) for r in engine.plan().collect()] == [("/e2", True)]
 
 
+def test_validation_counts_pairs_below_min_score(spark):
+    # any two have 67 points (size, quick digest, ext) and 3 of time; neighbours reach 82 by tokens and time: 7 of 28 pairs
+    rows = [{"path": f"/v{i}", "name": c * 4, "hash": f"h{i}", "quick_hash": "q", "size": 70, "parent": f"/p{i}", "mtime": 1e9 + 3500 * i, "tokens": [f"t{k}" for k in range(i, i + 6)]} for i, c in enumerate("abcdefgh")]
+    got = DedupEngine(spark, Settings(min_score=80)).catalog(files(spark, *rows)).groups()
+    assert {(r.group_id, r.path) for r in got.collect()} == {("near:/v0", f"/v{i}") for i in range(8)}
+
+
 def test_port_answers_every_command(engine, tmp_path):
     port, heard = CommandPort(engine), []
     port.register(lambda signal, data: heard.append(signal))

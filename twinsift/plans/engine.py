@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +45,10 @@ class DedupEngine:
             found = link.unionByName(exact)
             if self.settings.near:
                 rest = rest.join(exact.select("path"), "path", "left_anti")
-                scored = cut(pairs.near_pairs(pairs.near_candidates(rest), self.settings.min_score))
-                c = pairs.near_clusters(scored)
+                # validation counts every pair that reaches min_cluster_sim, also those too weak to form a cluster
+                least = min(self.settings.min_score, math.ceil(100 * self.settings.min_cluster_sim))
+                scored = cut(pairs.near_pairs(pairs.near_candidates(rest), least))
+                c = pairs.near_clusters(scored.where(F.col("score") >= self.settings.min_score))
                 ok = pairs.validated(c, scored, self.settings.min_cluster_sim).where("valid").select("cluster")
                 near = c.join(ok, "cluster", "left_semi").select("path", F.concat(F.lit("near:"), "cluster").alias("group_id"), F.lit("near").alias("group_type"), "score")
                 found = found.unionByName(near)
