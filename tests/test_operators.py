@@ -169,6 +169,25 @@ def test_bigram_pairs_equal_brute_force(spark):
         assert {p for p in got if cos(grams(p[0]), grams(p[1])) > t + 1e-9} == want
 
 
+def test_named_pairs_are_scored_pairs_of_files(spark):
+    row = {"parent": "/d", "ext": "txt", "size": 100, "quick_hash": "q", "mtime": 1e9, "magic_type": "m"}
+    rows = [{"path": "/1", "name": "report_2020.txt"}, {"path": "/2", "name": "Report_2021.txt"}, {"path": "/3", "name": "report_2020.txt", "size": 97, "quick_hash": "z"}, {"path": "/4", "name": "report_2020.txt", "size": 60}, {"path": "/5", "name": "zebra.txt"}, {"path": "/6", "name": "report_2020.txt", "quick_hash": "y"}, {"path": "/7", "name": "report_2020.txt", "size": None}]
+    names = ["path", "name", *row]
+    f = spark.createDataFrame([tuple((row | r)[c] for c in names) for r in rows], "path string, name string, parent string, ext string, size long, quick_hash string, mtime double, magic_type string")
+    got = {(r.path_a, r.path_b, r.score) for r in pairs.named_pairs(f).collect()}
+    assert got == {("/1", "/2", 100), ("/1", "/3", 70), ("/2", "/3", 70), ("/3", "/6", 70)}
+    assert got == {(r.path_a, r.path_b, r.score) for r in pairs.near_pairs(f.alias("x").select(F.struct("*").alias("a")).crossJoin(f.select(F.struct("*").alias("b"))).where("a.path < b.path and a.name not like 'z%' and b.name not like 'z%'").select(*[F.struct(*[F.col(f"{n}.{c}") for c in names], *[F.lit(None).cast(k).alias(c) for c, k in pairs.SCORED.items() if c not in names]).alias(n) for n in "ab"])).collect()}
+
+
+def test_names_of_file_records_agree_from_85_percent_on(spark, data):
+    from twinsift.queries import queries
+
+    paths = {r.path for r in queries()["catalog_stat"](spark, data).select("path").collect()}
+    got = queries()["name_bigram_pairs"](spark, data)
+    assert {"path_a", "path_b", "score"} <= set(got.columns)
+    assert all(r.score >= 70 and {r.path_a, r.path_b} <= paths for r in got.collect())
+
+
 def test_found_share(spark):
     s = "a string, b string"
     e = spark.createDataFrame([(f"x{i}", f"y{i}") for i in range(5)] + [("y0", "x0"), (None, "q")], s)

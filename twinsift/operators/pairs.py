@@ -96,6 +96,26 @@ def bigram_pairs(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     return met.join(a, "name_a").join(b, "name_b").withColumn("similarity", dot / F.sqrt(F.col("na") * F.col("nb"))).where(F.col("similarity") > threshold).select("name_a", "name_b", F.round("similarity", 6).alias("similarity"))
 
 
+def named_pairs(files: DataFrame, threshold: float = 0.85, min_score: int = 70) -> DataFrame:
+    """``(path_a, path_b, score, c_...)`` of files whose names agree (bigram cosine above ``threshold``) and that reach ``min_score``.
+
+    Names agree with themselves too. Scored without tokens, entropy and perceptual hashes, so that without a size at most 55
+    points come together: with ``min_score`` above that, files meet on their names and on classes of size, two sizes that
+    differ by at most a fifth lying in the same class or in neighbouring ones; all others score 0.
+    """
+    if min_score <= 55:
+        raise ValueError("min_score must be above 55")
+    each = files.select(F.lower("name").alias("name")).where(F.length("name") > 1).distinct()
+    like = bigram_pairs(each, threshold).select("name_a", "name_b")
+    both = like.unionByName(like.select(F.col("name_b").alias("name_a"), F.col("name_a").alias("name_b"))).unionByName(each.select(F.col("name").alias("name_a"), F.col("name").alias("name_b")))
+    f = scored_columns(files.drop("tokens", "entropy", "phash")).where(F.col("size").isNotNull() & (F.length("name") > 1))
+    klass = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / 0.2232)  # a little above -ln 0.8
+    row = lambda n: f.select(F.lower("name").alias(f"name_{n}"), klass.alias("class"), F.struct(*[F.col(c) for c in SCORED]).alias(n))
+    a = row("a").withColumn("class", F.explode(F.array(*[F.col("class") + i for i in (-1, 0, 1)])))
+    met = both.join(a, "name_a").join(row("b"), ["name_b", "class"]).where(F.col("a.path") < F.col("b.path")).select("a", "b")
+    return near_pairs(met, min_score)
+
+
 def near_clusters(pairs: DataFrame, largest: int = K.MAX_CLUSTER) -> DataFrame:
     """``(path, cluster, n_files, score)``: pairs merged transitively; a cluster is named by its smallest path and scored by its best pair.
 
