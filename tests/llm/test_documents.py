@@ -246,15 +246,46 @@ def feed(texts, written, read):
 
 
 @pytest.mark.parametrize("written, read", [("utf_8", "latin_1"), ("cp1252", "cp437")])
-def test_frequent_wrong_readings_are_no_usual_pairs(written, read):
+def test_frequent_wrong_readings_train_nothing(written, read):
     some = random.Random(3)
     words = "été leçon garçon près élève forêt où déjà naïf cœur".replace("œ", "oe").split() + "la le un de avec pour dans et il une".split()
     texts = [" ".join(some.choice(words) for _ in range(60)) for _ in range(120)]
-    mixed = feed(texts, written, read)
-    plain = E.plain_texts(mixed, E.made_words({"fr": mixed}))
+    plain = E.plain_texts(feed(texts, written, read))
     assert plain and set(plain) <= set(texts)
 
 
+SOUND = """Soubor byl přesunut do složky Žádný problém. Účet byl zrušen.|Dosya bozulmadı ve klasöre taşındı. Yığın işlemi bitti.
+Το αρχείο μεταφέρθηκε σε άλλο φάκελο.|Її файл переміщено до іншої папки, її копія є.|Skráin var færð í aðra möppu þegar öryggisafrit var tekið.
+α is 5 µm, β is 3 µm and Ω is the sum.|ε → 0 and Σ x = ∞ for all n ≥ 1.|The licence costs ¥900 or £7 or €8.|╔═══╗ ║ a ║ ╚═══╝|│ Name │ Größe │ └─ b
+SÃO PAULO – RELAÇÃO DE ARQUIVOS|Р. С. Петров и Г. А. Сидоров|Er sagte ‚nein‘ und ›ja‹ und „vielleicht“.|Windows™ © 2020 Acme® x|Łukasz Nowak, Åsa Öberg, Ñuñez
+The file showed "Ã©" instead of an e with accent.|The replacement character "�" (U+FFFD) is printed.|Tệp đã được chuyển sang thư mục khác bởi người dùng.
+A fájl átkerült egy másik mappába, őrült gyűjtő.|Fișierul a fost mutat în alt dosar și șters.|파일이 다른 폴더로 이동되었습니다.|文件已移动到另一个文件夹。|تم نقل الملف إلى مجلد آخر
+20°C ±2, ½ cup, 3×4, x² + y³|→ next • item ✓ done ★★★|Ķirsis Šķūnis mājā ēda āboļus|Failas perkeltas į kitą aplanką, ąžuolas"""
+SOUND = [t for line in SOUND.split("\n") for t in line.split("|")]
+
+
+@pytest.mark.parametrize("text", SOUND)
+def test_sound_texts_of_languages_and_signs_without_a_dictionary(speller, text):
+    restorer, around = Restorer(speller), "The copy was kept because its name was shorter. " * 20
+    assert restorer.judge(text) == (False, text, None)
+    assert restorer.judge(around + text + " " + around)[:2] == (False, around + text + " " + around)
+
+
+@pytest.mark.parametrize("unknown", ["pl", "ru", "de"])
+def test_a_language_without_a_dictionary_stays_untouched(larger, speller, unknown):
+    """The sample lacks one language; texts of it that all dictionaries together find sound are still found sound."""
+    judge, blind = Restorer(speller).judge, Restorer(fit_speller(larger.where(~F.lower("lang").contains(unknown)))).judge
+    texts = [t for (t,) in larger.where(F.lower("lang").contains(unknown) & F.col("text").isNotNull()).select("text").collect() if not t.isascii() and not judge(t)[0]]
+    assert len(texts) > 20 and sum(blind(t)[0] for t in texts) <= 0.01 * len(texts)
+
+
+def test_violations_know_no_language():
+    for good in ("Größe", "│ ├─a\n│ └──b", "l’été", "ファイルPDFを", "İğdır", "Привет", "9 °C", "João RELAÇÃO"):
+        assert E.violations(good) == 0, good
+    for bad in ("GrÃ¶ÃŸe", "l├®t├®", "donâ€™t", "fⁿr", "Приvет", "ïðèâåò", "caf\x8e", "J贸lvik", "gelﾃｶscht"):
+        assert E.violations(bad) > 0, bad
+
+
 def test_a_third_of_a_language_read_wrongly_is_found(spark, larger):
     rows = [tuple(r) for r in larger.where("lang = 'fr' and text rlike '[éèàç]'").select("doc_id", "text", "lang").orderBy("doc_id").limit(240).collect()]
     sound = fit_speller(docs(spark, *rows))
