@@ -1,5 +1,7 @@
 """Every core query against its SQL, and the driver contract."""
 
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
@@ -27,3 +29,12 @@ def test_every_query_has_sql_or_a_reason(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries())
+
+
+def test_entry_without_what_the_subpackage_needs(monkeypatch):
+    """A missing library costs the queries that need it, not the core."""
+    for name in [m for m in sys.modules if m.startswith("twinsift.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    for name in ("zstandard", "tiktoken"):
+        monkeypatch.setitem(sys.modules, name, None)
+    assert set(QUERIES) <= set(entry.queries())
