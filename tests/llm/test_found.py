@@ -10,7 +10,7 @@ from tests.graphs import components, shapes
 from twinsift.llm import queries as llm
 from twinsift.llm.batches import batch_matches
 from twinsift.llm.linkage import min_labels, path_groups
-from twinsift.llm.minmax import min_max_bands, near_names
+from twinsift.llm.minmax import min_max_bands, near_name_groups, near_names
 from twinsift.llm.survivors import surviving_fields
 from twinsift.plans.runtime import Workspace
 
@@ -177,6 +177,18 @@ def test_copies_meet_once(spark):
     assert near_names(f, g).count() == 300 * 299 // 2
 
 
+def test_groups_of_names_and_one_popular_name(spark):
+    """A popular name with many sizes meets only its like, and groups are the components of the pairs."""
+    rows = [{"file_id": k, "name": "Holiday Picture 2024.jpg", "size": 1000 + 7 * k, "ext": "jpg"} for k in range(400)] + [{"file_id": 1000 + k, "name": f"other{k:05d}", "size": 9, "ext": "q"} for k in range(40)]
+    f, g = files(spark, *rows), spark.createDataFrame([], "ext string, ext_group string")
+    want = brute_names(rows, {})
+    assert {tuple(x) for x in near_names(f, g).collect()} == want
+    of = components(want)
+    assert {(r.file_id, r.group_id) for r in near_name_groups(f, g).collect()} == set(of.items())
+    assert sum(r.n_links for r in near_name_groups(f, g).collect()) == 2 * len(want)
+    assert near_name_groups(f.limit(0), g).count() == 0
+
+
 # problem 4
 
 

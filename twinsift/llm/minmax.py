@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.versions import current_files
 from ..plans.runtime import Workspace, cut
+from .linkage import min_labels
 
 #: Names agree from this Jaccard similarity of their pieces on.
 AGREE = 0.7
@@ -21,8 +22,8 @@ SIZE_SLACK = 0.05
 #: Two names of similarity s share a band with probability about s^4: at 0.7 all 24 bands miss 0.2 % of the pairs, at
 #: 0.75 one in ten thousand, while names that share a tenth of their pieces meet in one of 400 cases.
 BANDS, PERMUTATIONS = 24, 2
-#: A size bucket spans this many times the allowed slack; every such part of the files lies close enough to the upper
-#: edge to be looked up in the next bucket too.
+#: A size bucket of the band join spans this many times the allowed slack; names whose largest size comes within a slack
+#: of the upper edge are looked up in the next bucket too.
 BUCKET_SLACKS = 8
 SEED = 20_240_229
 _EMPTY = np.uint64(0)
@@ -89,58 +90,94 @@ def ext_classes(files: DataFrame, ext_groups: DataFrame) -> DataFrame:
 
 
 def _band_rows(bands: int, permutations: int):
-    """Arrow batches of classes -> (key, class_id): a key per band, with class of extension and size bucket mixed in."""
-    width = -math.log1p(-SIZE_SLACK) * BUCKET_SLACKS
+    """Arrow batches of names -> (key, name_id): a key per band, with class of extension and size bucket mixed in."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
             keys = min_max_bands(b["pieces"].tolist(), bands, permutations)
-            log = np.log(b["size"].to_numpy(dtype=np.float64))
-            bucket = np.floor(log / width).astype(np.int64)
-            # a hair above the slack, so that rounding of logarithms can't lose a pair; the exact check follows
-            upper = np.floor((log - math.log1p(-SIZE_SLACK) + 1e-9) / width).astype(np.int64)
+            bucket = b["bucket"].to_numpy(dtype=np.int64)
             block = b["ext_hash"].to_numpy(dtype=np.int64).astype(np.uint64)
             with np.errstate(over="ignore"):
-                for at, who in ((bucket, np.ones(len(b), dtype=bool)), (upper, upper != bucket)):
+                for at, who in ((bucket, np.ones(len(b), dtype=bool)), (bucket + 1, b["reaches"].to_numpy(dtype=bool))):
                     if who.any():
                         salted = _mixed(_mixed(block[who] + at[who].astype(np.uint64))[:, None] ^ keys[who])
-                        yield pd.DataFrame({"key": salted.astype(np.int64).ravel(), "class_id": np.repeat(b["class_id"].to_numpy()[who], bands)})
+                        yield pd.DataFrame({"key": salted.astype(np.int64).ravel(), "name_id": np.repeat(b["name_id"].to_numpy()[who], bands)})
 
     return rows
 
 
+#: Logarithm of the size ratio that is allowed, a hair wider: rounding can't lose a pair, and the exact check follows.
+_SLACK = -math.log1p(-SIZE_SLACK) + 1e-9
+
+
+def _step(size, slacks: int):
+    """The bucket of a size when a bucket spans so many slacks."""
+    return F.floor(F.log(size.cast("double")) / F.lit(_SLACK * slacks)).cast("bigint")
+
+
 def near_names(files: DataFrame, ext_groups: DataFrame, bands: int = BANDS, permutations: int = PERMUTATIONS) -> DataFrame:
     """``(file_id_a, file_id_b)``, a < b: pairs of current files that agree in name, size and extension.
 
-    Files with the same pieces, size and extension class are one class; one representative per class is hashed, so a
-    thousand copies of a name cost one signature and never meet each other in the band join. Bands are joined within
-    extension class and size bucket, candidates are checked exactly, and the pairs of classes are expanded to the pairs
-    of files that the result asks for. Missing names, extensions and sizes, sizes up to 0, and names without any piece
-    give no pair. No bucket is capped.
+    A name is hashed once for all its files of an extension class and a size bucket, however many sizes they have, so a
+    popular name costs one signature and its files never meet in the band join. Bands are joined within extension class
+    and size bucket and the names of candidates are checked exactly. Pairs of names then become pairs of sizes by a join
+    on buckets one slack wide, which spreads a name with many sizes and forms little more than the pairs that agree, and
+    these become the pairs of files that the result asks for. Missing names, extensions and sizes, sizes up to 0, and
+    names without any piece give no pair. No bucket is capped.
     """
     with Workspace(files.sparkSession, "names") as work:
         now = current_files(files, "name", "size", "ext", "scanned_at").where((F.col("size") > 0) & F.col("name").isNotNull() & F.col("ext").isNotNull())
         read = ext_classes(now, ext_groups).select("file_id", "size", "ext_class", _codes(name_pieces(F.col("name"))).alias("pieces")).where(F.size("pieces") > 0)
-        keyed = work.keep(read)
-        classes = keyed.groupBy("ext_class", "size", "pieces").agg(F.min("file_id").alias("class_id"), F.count(F.lit(1)).alias("members"))
-        # a file whose extension has several groups represents several classes; its id tells them apart with the class
-        classes = work.keep(classes.select("class_id", F.xxhash64("ext_class").alias("ext_hash"), "size", "pieces", "members", "ext_class"))
-        rows = classes.select("class_id", "ext_hash", "size", "pieces").mapInPandas(_band_rows(bands, permutations), "key bigint, class_id bigint")
+        keyed = work.keep(read.withColumn("bucket", _step(F.col("size"), BUCKET_SLACKS)))
+        of_name = ["ext_class", "pieces", "bucket"]
+        reaches = F.floor((F.log(F.max("size").cast("double")) + F.lit(_SLACK)) / F.lit(_SLACK * BUCKET_SLACKS)) > F.col("bucket")
+        # the smallest id of a name's files names it; a file whose extension has several groups takes part in several names
+        names = work.keep(keyed.groupBy(*of_name).agg(F.min("file_id").alias("first"), reaches.alias("reaches")).select(F.xxhash64("first", "ext_class", "bucket").alias("name_id"), F.xxhash64("ext_class").alias("ext_hash"), *of_name, "reaches"))
+        rows = names.select("name_id", "ext_hash", "pieces", "bucket", "reaches").mapInPandas(_band_rows(bands, permutations), "key bigint, name_id bigint")
         left, right = rows.alias("l"), rows.alias("r")
-        met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.class_id") < F.col("r.class_id"))).select(F.col("l.class_id").alias("a"), F.col("r.class_id").alias("b")).distinct()
-        side = classes.select("class_id", "ext_class", "size", "pieces")
-        a = side.select(F.col("class_id").alias("a"), "ext_class", F.col("size").alias("size_a"), F.col("pieces").alias("pieces_a"))
-        b = side.select(F.col("class_id").alias("b"), "ext_class", F.col("size").alias("size_b"), F.col("pieces").alias("pieces_b"))
+        met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.name_id") < F.col("r.name_id"))).select(F.col("l.name_id").alias("a"), F.col("r.name_id").alias("b")).distinct()
+        side = lambda x: names.select(F.col("name_id").alias(x), F.col("ext_class").alias(f"ext_{x}"), F.col("pieces").alias(f"pieces_{x}"))
         common = F.size(F.array_intersect("pieces_a", "pieces_b"))
         agree = common >= F.lit(AGREE) * (F.size("pieces_a") + F.size("pieces_b") - common)
+        near = met.join(side("a"), "a").join(side("b"), "b").where((F.col("ext_a") == F.col("ext_b")) & agree).select("a", "b")
+        pairs = near.unionByName(names.select(F.col("name_id").alias("a"), F.col("name_id").alias("b")))
+        sized = work.keep(keyed.join(names.select(*of_name, "name_id"), of_name).select("name_id", "size", "file_id"))
+        sizes = sized.groupBy("name_id", "size").agg(F.count(F.lit(1)).alias("n")).withColumn("step", _step(F.col("size"), 1))
+        of_a = sizes.select(F.col("name_id").alias("a"), F.col("size").alias("size_a"), F.col("n"), F.explode(F.array(*[F.col("step") + k for k in (-1, 0, 1)])).alias("step"))
+        of_b = sizes.select(F.col("name_id").alias("b"), F.col("size").alias("size_b"), "step")
         close = F.abs(F.col("size_a") - F.col("size_b")) * round(1 / SIZE_SLACK) <= F.greatest("size_a", "size_b")
-        near = met.join(a, "a").join(b, ["b", "ext_class"]).where(close & agree).select("a", "b", "ext_class")
-        same = classes.where(F.col("members") > 1).select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), "ext_class")
-        of = keyed.join(classes.select("ext_class", "size", "pieces", "class_id"), ["ext_class", "size", "pieces"]).select("class_id", "ext_class", "file_id")
-        pairs = near.unionByName(same)
-        of_a, of_b = of.select(F.col("class_id").alias("a"), "ext_class", F.col("file_id").alias("x")), of.select(F.col("class_id").alias("b"), "ext_class", F.col("file_id").alias("y"))
-        full = pairs.join(of_a, ["a", "ext_class"]).join(of_b, ["b", "ext_class"]).where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))).where(F.col("x") != F.col("y"))
+        once = (F.col("a") != F.col("b")) | (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("n") > 1))
+        met_sizes = pairs.join(of_a, "a").join(of_b, ["b", "step"]).where(close & once).select("a", "size_a", "b", "size_b")
+        member = lambda x, f: sized.select(F.col("name_id").alias(x), F.col("size").alias(f"size_{x}"), F.col("file_id").alias(f))
+        full = met_sizes.join(member("a", "x"), ["a", "size_a"]).join(member("b", "y"), ["b", "size_b"]).where((F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & ((F.col("a") != F.col("b")) | (F.col("size_a") != F.col("size_b")))))
         out = full.select(F.least("x", "y").alias("file_id_a"), F.greatest("x", "y").alias("file_id_b"))
         return cut(out.distinct())
+
+
+def near_name_groups(files: DataFrame, ext_groups: DataFrame) -> DataFrame:
+    """``(file_id, group_id, n_links)`` of every file that ``near_names`` pairs with another one.
+
+    group_id is the smallest file_id of all files linked directly or through others; n_links counts the file's own pairs.
+    """
+    with Workspace(files.sparkSession, "name-groups") as work:
+        pairs = near_names(files, ext_groups)
+        links = pairs.select(F.explode(F.array("file_id_a", "file_id_b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+        labels = min_labels(pairs.select(F.col("file_id_a").alias("u"), F.col("file_id_b").alias("v")), work)
+        return cut(links.join(labels, "id").select(F.col("id").alias("file_id"), F.col("label").alias("group_id"), "n_links"))
+
+
+NAMES_SQL = r"""
+with cur as (select * from (select *, row_number() over (partition by file_id order by scanned_at desc) rn from file_records) where rn = 1),
+x as (select trim(replace(lower(trim(ext, ' ' || chr(9))), '.', ''), ' ' || chr(9)) e, ext_group from ext_groups where ext_group is not null group by all),
+f as (select file_id, size, trim(replace(lower(trim(ext, ' ' || chr(9))), '.', ''), ' ' || chr(9)) e,
+  list_distinct(flatten(list_transform(regexp_extract_all(lower(case when instr(name, '.') > 0 then regexp_extract(name, '(?s)^(.*)\.', 1) else name end), '[a-z0-9]+'),
+    lambda r: case when length(r) < 3 then [r] else list_transform(range(1, length(r) - 1), lambda i: substr(r, i::int, 3)) end))) p from cur where size > 0 and name is not null),
+g as (select f.file_id, size, p, case when ext_group is null then 'e:' || f.e else 'g:' || ext_group end c from f left join x on x.e = f.e where f.e <> '' and len(p) > 0),
+k as (select *, floor(ln(size) / 0.0513)::bigint b from g),
+h as (select *, unnest([b - 1, b, b + 1]) n from k),
+w as (select distinct a.file_id file_id_a, z.file_id file_id_b, a.p ap, z.p zp from k a join h z on a.c = z.c and a.b = z.n and a.file_id < z.file_id
+  and abs(a.size - z.size) * 20 <= greatest(a.size, z.size) and len(a.p) * 10 >= 7 * len(z.p) and len(z.p) * 10 >= 7 * len(a.p))
+select distinct file_id_a, file_id_b from w where len(list_intersect(ap, zp)) * 10 >= 7 * (len(ap) + len(zp) - len(list_intersect(ap, zp)))
+"""

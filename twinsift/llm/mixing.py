@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import deque
+import warnings
+from collections import defaultdict, deque
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from .tokens import VOCABULARY, count_tokens, source_name, spread
 SEED = 7
 #: Texts per slice of the seeded order: slices are summed apart, so that no window holds a whole pattern.
 SLICE_TEXTS = 4_096
+#: Texts of each pattern, drawn by a seeded hash, among which the last tokens of its quotas are settled, and changes a quota.
+SETTLING_TEXTS, SETTLING_CHANGES = 512, 12
 #: Bisection steps for the largest total.
 STEPS = 60
 
@@ -103,6 +106,29 @@ def largest_total(patterns: dict[tuple[str, ...], int], shares: dict[str, float]
     return low
 
 
+def settled(gaps: dict[tuple[str, str], int], texts: dict[str, list[tuple[str, int, dict[str, int]]]], caps: dict[str, int]) -> dict[tuple[str, str], int]:
+    """``(digest, source) -> change of uses`` that closes the gaps per (pattern, source) as well as a few changes can.
+
+    ``texts`` has per pattern (digest, tokens, uses by source). Each change gives or takes one use of the text that brings
+    the gap closest to 0; no text is used more than its pattern's cap in all.
+    """
+    changes: dict[tuple[str, str], int] = defaultdict(int)
+    total = {d: sum(u.values()) for rows in texts.values() for d, _, u in rows}
+    open_gaps = dict(sorted(gaps.items()))
+    for (p, n), _ in [*open_gaps.items()] * 2:  # what one source gives back in the first turn another may take in the second
+        for _ in range(SETTLING_CHANGES):
+            gap = open_gaps[p, n]
+            more = ((abs(gap - t), d, 1, t) for d, t, _ in texts.get(p, ()) if total[d] < caps[p])
+            less = ((abs(gap + t), d, -1, t) for d, t, u in texts.get(p, ()) if u.get(n, 0) + changes[d, n] > 0)
+            left, digest, sign, tokens = min((*more, *less), default=(abs(gap), "", 0, 0))
+            if left >= abs(gap):
+                break
+            changes[digest, n] += sign
+            total[digest] += sign
+            open_gaps[p, n] -= sign * tokens
+    return {k: v for k, v in changes.items() if v}
+
+
 def distinct_texts(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(digest, n_tokens, pattern, doc_ids)`` of every text that a wanted source has.
 
@@ -121,14 +147,16 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, vocab
     """``(source, doc_id, uses, n_tokens)``: which text is used how often on whose account.
 
     ``total`` is the size wanted in tokens; by default it is the largest at which every source can reach its share. A
+    larger one can't be had with these shares and caps; it is lowered to that, with a warning that names both. A
     text is used at most ``max_repeats`` times in all; if several sources with different caps hold it, the smallest cap
     holds. A source without any text takes part in no mixture of any size: it is left out and the shares of the rest are
     taken relative to each other. Sources of ``targets`` without a share or cap above 0 are ignored, repeated rows count
     once (the largest share).
 
     Texts are aggregated by membership pattern, the only thing the driver sees: at most 2^sources - 1 rows, in practice a
-    few dozen. Flows of a pattern are laid along its texts in a seeded order: a text is used where its middle falls, so a
-    source misses its quota by half a text at most on either side. Its place in that order comes from sums per slice, not from a window over the pattern.
+    few dozen. Flows of a pattern are laid along its texts in a seeded order: a text is used where its middle falls. Its
+    place in that order comes from sums per slice, not from a window over the pattern. What a quota then misses, half a
+    text at most on either side, is settled by giving or taking single uses of a bounded number of the pattern's texts.
     """
     spark = docs.sparkSession
     rows = targets.where((F.col("target_share") > 0) & (F.col("max_repeats") > 0)).groupBy(source_name(F.col("source")).alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).where(F.col("source").isNotNull()).collect()
@@ -140,6 +168,8 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, vocab
     whole = sum(r.share for r in rows if r.source in there)
     shares = {r.source: r.share / whole for r in rows if r.source in there}
     most = largest_total(patterns, shares, caps) if patterns else 0
+    if total is not None and total > most:
+        warnings.warn(f"a mixture of {total} tokens can't be had with these shares and caps; it gets {most}", stacklevel=2)
     _, flows = route(patterns, shares, caps, most if total is None else min(total, most)) if patterns else (0, {})
     # the segments of each pattern's line: first source from 0, the next where it ends, ...
     segments, lines = [], []
@@ -152,17 +182,29 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, vocab
         lines.append(("\x1f".join(p), patterns[p], -(-end // patterns[p]), max(1, stats[p][1] // SLICE_TEXTS)))
     line = spark.createDataFrame(lines, "pattern string, tokens bigint, passes bigint, slices bigint")
     segment = spark.createDataFrame(segments, "pattern string, source string, low bigint, high bigint")
-    # patterns and their flows are tables of the bounded number of patterns
     order = F.xxhash64(F.lit(seed), "digest")
-    placed = texts.join(F.broadcast(line), "pattern").where(F.col("passes") > 0).withColumn("slice", F.pmod(order, F.col("slices"))).withColumn("place", F.xxhash64(F.lit(seed + 1), "digest"))
+    placed = texts.join(line, "pattern").where(F.col("passes") > 0).withColumn("slice", F.pmod(order, F.col("slices"))).withColumn("place", F.xxhash64(F.lit(seed + 1), "digest"))
     before = Window.partitionBy("pattern").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offset = placed.groupBy("pattern", "slice").agg(F.sum("n_tokens").alias("in_slice")).withColumn("offset", F.coalesce(F.sum("in_slice").over(before), F.lit(0))).drop("in_slice")
     within = Window.partitionBy("pattern", "slice").orderBy("place", "digest").rowsBetween(Window.unboundedPreceding, -1)
     started = placed.withColumn("inside", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(offset, ["pattern", "slice"])
     start = F.col("offset") + F.col("inside")
     runs = started.select("pattern", "digest", "doc_ids", "n_tokens", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("passes") - 1), lambda k: k * F.col("tokens") + start + F.col("n_tokens") / 2)).alias("at"))
-    used = runs.join(F.broadcast(segment), "pattern").where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
-    return used.groupBy("source", "digest").agg(F.first("doc_ids").alias("doc_ids"), F.first("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("uses")).select("source", F.try_element_at("doc_ids", F.col("source")).alias("doc_id"), "uses", "n_tokens")
+    used = runs.join(segment, "pattern").where((F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
+    uses = cut(used.groupBy("pattern", "source", "digest").agg(F.first("doc_ids").alias("doc_ids"), F.first("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("uses")))
+    laid = {(r.pattern, r.source): int(r.tokens) for r in uses.groupBy("pattern", "source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("tokens")).collect()}
+    gaps = {(p, n): high - low - laid.get((p, n), 0) for p, n, low, high in segments}
+    some = texts.join(line, "pattern").select("pattern", "digest", "n_tokens", "doc_ids", F.row_number().over(Window.partitionBy("pattern").orderBy(F.xxhash64(F.lit(seed + 2), "digest"), "digest")).alias("rank")).where(F.col("rank") <= SETTLING_TEXTS)
+    by_text = uses.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("source", "uses"))).alias("by_source"))
+    pool, of = defaultdict(list), {}
+    for r in some.join(by_text, "digest", "left").orderBy("pattern", "rank").collect():  # patterns x SETTLING_TEXTS
+        pool[r.pattern].append((r.digest, int(r.n_tokens), r.by_source or {}))
+        of[r.digest] = r
+    changes = settled(gaps, pool, {"\x1f".join(p): min(caps[n] for n in p) for p in patterns})
+    rows = [(n, d, of[d].doc_ids[n], int(of[d].n_tokens), v) for (d, n), v in sorted(changes.items())]
+    changed = spark.createDataFrame(rows, "source string, digest string, doc_id bigint, n_tokens bigint, uses bigint")
+    whole_uses = uses.select("source", "digest", F.try_element_at("doc_ids", F.col("source")).alias("doc_id"), "n_tokens", "uses").unionByName(changed)
+    return whole_uses.groupBy("source", "digest").agg(F.first("doc_id").alias("doc_id"), F.sum("uses").alias("uses"), F.first("n_tokens").alias("n_tokens")).where(F.col("uses") > 0).select("source", "doc_id", "uses", "n_tokens")
 
 
 def reached_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from ..tables import table
 from .batches import BATCH_SQL, batch_matches
 from .encodings import garbled, restored
 from .linkage import LINKAGE_SQL, path_groups
-from .minmax import near_names
+from .minmax import NAMES_SQL, near_name_groups, near_names
 from .mixing import mixture, reached_shares
 from .packing import containers, filling
 from .survivors import SURVIVORS_SQL, surviving_fields
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "p1_found": lambda s, d: surviving_fields(table(s, d, "dup_groups"), table(s, d, "file_records")),
         "p2_found": lambda s, d: batch_matches(table(s, d, "incoming_files"), table(s, d, "file_records")),
         "p3_found": lambda s, d: near_names(table(s, d, "file_records"), table(s, d, "ext_groups")),
+        "p3_groups": lambda s, d: near_name_groups(table(s, d, "file_records"), table(s, d, "ext_groups")),
         "p4_found": lambda s, d: path_groups(table(s, d, "match_pairs"), table(s, d, "dup_groups")),
         "p6_containers": lambda s, d: containers(table(s, d, "documents"), table(s, d, "pack_specs")),
         "p6_filling": lambda s, d: filling(containers(table(s, d, "documents"), table(s, d, "pack_specs")), table(s, d, "pack_specs")),
@@ -34,4 +35,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": SURVIVORS_SQL, "p2_found": BATCH_SQL, "p4_found": LINKAGE_SQL}
+    return {"p1_found": SURVIVORS_SQL, "p2_found": BATCH_SQL, "p3_found": NAMES_SQL, "p4_found": LINKAGE_SQL}
