@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.graphs import components, shapes
+from twinsift.functions import features
 from twinsift.operators import changes, filters, groups, pairs, policy, report, vectors
 from twinsift.operators.components import connected_components
 from twinsift.settings import PROFILES, Settings
@@ -249,3 +250,34 @@ def test_places_and_predecessors_of_a_group_over_many_partitions(spark):
     got = previous(places, ["g"], ["a", "id"], "id", "p")
     assert sorted(map(tuple, got.collect()), key=lambda r: r[2]) == want
     assert place_within(df.limit(0), ["g"], [F.col("id").asc()], "n").count() == 0
+
+
+def test_clusters_without_a_limit(spark):
+    p = spark.createDataFrame([(f"p{i:04d}", f"p{i + 1:04d}", 80) for i in range(1100)], "path_a string, path_b string, score bigint")
+    assert pairs.near_clusters(p).count() == 0
+    c = pairs.near_clusters(p, largest=None)
+    assert c.count() == 1101
+    assert pairs.validated(c, p).first().valid and not pairs.validated(c, p, largest=None).first().valid
+
+
+def test_proof_of_copies(spark):
+    rows = [("/a", 3, "h", "s"), ("/b", 3, "h", "s"), ("/c", 3, "h", "t"), ("/d", 3, "h", None), ("/e", 0, "h", "s"), ("/f", 3, None, "s"), ("/g", 9, "x", "s")]
+    f = spark.createDataFrame(rows, "path string, size bigint, hash string, sha256_hash string")
+    assert {tuple(r) for r in groups.verified(f).collect()} == {("/a", "/a", True), ("/b", "/a", True), ("/c", "/a", False), ("/d", "/a", False)}
+    c = f.select("path", "size", "hash", F.when(F.col("path") == "/c", F.lit(b"abd")).otherwise(F.lit(b"abc")).alias("content"))
+    assert {r.path for r in groups.verified(c).where("verified").collect()} == {"/a", "/b", "/d"}
+    assert groups.verified(f.limit(0)).count() == 0
+
+
+def test_semantic_points_lift_a_pair(spark):
+    row = "struct<path:string,parent:string,name:string,ext:string,size:bigint,mtime:double,hash:string,partial_hash:string,quick_hash:string,magic_type:string,entropy:double,phash:string,tokens:array<string>,embedding:array<float>>"
+    one = lambda p, e: (p, "/x", "abc", "txt", 10, None, None, None, None, None, None, None, ["abc"], e)
+    c = spark.createDataFrame([(10, one("/a", [1.0, 0.0]), one("/b", [1.0, 0.1])), (10, one("/c", None), one("/d", [1.0, 0.1]))], f"size bigint, a {row}, b {row}")
+    plain, both = (pairs.near_pairs(c, 50, with_names=False, semantic=x).collect() for x in (False, True))
+    score = {r.path_a: r.score for r in both}
+    assert score["/a"] == min(100, plain[0].score + 40) and score["/c"] == plain[1].score
+
+
+def test_times_that_no_text_can_write(spark):
+    f = spark.createDataFrame([(None,), (0.0,), (1e15,), (float("nan"),), (5e9,)], "t double")
+    assert [r[0] for r in f.select(features.format_ts(F.col("t"))).collect()] == ["N/A"] * 4 + ["2128-06-11 08:53:20"]

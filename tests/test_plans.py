@@ -157,3 +157,10 @@ def test_metadata_reads_dirt(spark):
     assert (r.path, r.name, r.ext, r["size"], r.mtime, r.ctime, r.inode, r.hash, r.partial_hash, r.quick_hash, r.sha256_hash) == ("/d/x.TXT", None, "txt", None, None, None, None, "ab" * 16, None, None, "aa")
     assert (r.is_locked, r.is_symlink, r.parent, r.entropy, r.magic_type) == (False, True, "/d", None, None)
     assert catalog.metadata(spark.createDataFrame([], s)).count() == 0
+
+
+def test_paranoid_engine_keeps_only_proved_copies(spark):
+    rows = [("/d/a.txt", "h", "s"), ("/d/b.txt", "h", "s"), ("/d/c.txt", "h", "t"), ("/d/e.txt", "g", None), ("/d/f.txt", "g", None)]
+    f = spark.createDataFrame([(p, "/d", p[3:], "txt", 9, 1.0, 1.0, None, 1, h, s, False, False, False) for p, h, s in rows], "path string, parent string, name string, ext string, size bigint, mtime double, ctime double, inode bigint, device bigint, hash string, sha256_hash string, is_locked boolean, is_system boolean, is_symlink boolean")
+    exact = lambda **x: {r.path for r in DedupEngine(spark, Settings(near=False, **x)).catalog(f).groups().collect()}
+    assert exact() == {p for p, _, _ in rows} and exact(paranoid=True) == {"/d/a.txt", "/d/b.txt"}

@@ -9,7 +9,7 @@ from twinsift import queries as core
 from tests.check import same_rows
 
 QUERIES, SQL = core.queries(), core.oracle_sql()
-ROWS_ONLY = {"name_ratio", "near_pairs", "name_bigram_pairs", "why_keep", "duplicate_story", "export_nested", "ann_topk"}
+ROWS_ONLY = {"name_ratio", "near_pairs", "name_bigram_pairs", "why_keep", "duplicate_story", "export_nested", "ann_topk", "near_clusters", "cluster_validate", "all_groups"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

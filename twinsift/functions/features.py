@@ -156,9 +156,14 @@ def format_size(n: Column) -> Column:
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
         .when(n < 1024**2, F.format_string("%.1f KB", F.bround(n / 1024, 1)))
         .when(n < 1024**3, F.format_string("%.2f MB", F.bround(n / 1024**2, 2)))
-        .otherwise(F.format_string("%.2f GB", F.bround(n / 1024**3, 2)))
+        .when(n.isNotNull(), F.format_string("%.2f GB", F.bround(n / 1024**3, 2)))
     )
 
 
+#: The first second that a date of four digits can't write.
+LAST_SECOND = 253_402_300_800.0
+
+
 def format_ts(ts: Column) -> Column:
-    return F.when((ts != 0) & ts.isNotNull(), F.date_format(F.timestamp_seconds(F.floor(ts)), "yyyy-MM-dd HH:mm:ss")).otherwise(F.lit("N/A"))
+    """A time in seconds as text; missing ones and 0 are N/A, and so is what lies after the year 9999 or is no number."""
+    return F.when((ts != 0) & ~F.isnan(ts) & (ts < LAST_SECOND), F.date_format(F.timestamp_seconds(F.floor(ts)), "yyyy-MM-dd HH:mm:ss")).otherwise(F.lit("N/A"))

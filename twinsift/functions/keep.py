@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from .features import any_of, depth, path_has
+from .features import any_of, depth, path_has, stem, suffix
 
 
 def is_copy_name(stem: Column) -> Column:
@@ -18,7 +18,8 @@ def name_keep_score(stem: Column) -> Column:
     s = F.lower(stem)
     numbered = F.when(s.rlike(r"\([0-9]+\)\s*$"), -20).when(s.rlike(r"[\s_\-][0-9]+\s*$"), -15).otherwise(0)
     descriptive = F.when((F.length(s) >= 10) & ~s.rlike(r"[_\-]{3,}"), 5).otherwise(0)
-    return (F.when(is_copy_name(stem), -30).otherwise(0) + numbered + F.when(F.length(s) <= 2, -5).otherwise(0) + descriptive).cast("bigint")
+    total = F.when(is_copy_name(stem), -30).otherwise(0) + numbered + F.when(F.length(s) <= 2, -5).otherwise(0) + descriptive
+    return F.when(stem.isNotNull(), total).cast("bigint")
 
 
 def is_protected(path: Column) -> Column:
@@ -49,6 +50,14 @@ def path_keep_score(path: Column, needed_sibling: Column, match: str = "substrin
     ).cast("bigint")
 
 
-def keep_score(stem: Column, path: Column, needed_sibling: Column, locked: Column, system: Column) -> Column:
-    total = 100 + name_keep_score(stem) + path_keep_score(path, needed_sibling) + F.when(locked, 20).otherwise(0) - F.when(system, 50).otherwise(0)
+def with_keep_score(files, match: str = "substring"):
+    """A catalog of path, parent, name and flags with ``keep_score``; folders with installed software are found among its own files."""
+    needed = files.where(needs_company(suffix(F.col("name")))).select("parent").distinct().withColumn("_needed", F.lit(True))
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in files.columns else F.lit(False)
+    score = keep_score(stem(F.coalesce("name", F.lit(""))), F.col("path"), F.coalesce("_needed", F.lit(False)), flag("is_locked"), flag("is_system"), match)
+    return files.join(needed, "parent", "left").withColumn("keep_score", score).drop("_needed")
+
+
+def keep_score(stem: Column, path: Column, needed_sibling: Column, locked: Column, system: Column, match: str = "substring") -> Column:
+    total = 100 + name_keep_score(stem) + path_keep_score(path, needed_sibling, match) + F.when(locked, 20).otherwise(0) - F.when(system, 50).otherwise(0)
     return F.greatest(F.lit(0), F.least(F.lit(200), total)).cast("bigint")

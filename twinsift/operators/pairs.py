@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.features import name_ratio, stem
+from ..functions.features import cosine, name_ratio, stem
 from ..functions.score import NAME_POINTS, components, name_points, pair_score
 from .components import connected_components
 
 #: What scoring reads of a file; absent columns are null.
-SCORED = {"path": "string", "parent": "string", "name": "string", "ext": "string", "size": "bigint", "mtime": "double", "hash": "string", "partial_hash": "string", "quick_hash": "string", "magic_type": "string", "entropy": "double", "phash": "string", "tokens": "array<string>"}
+SCORED = {"path": "string", "parent": "string", "name": "string", "ext": "string", "size": "bigint", "mtime": "double", "hash": "string", "partial_hash": "string", "quick_hash": "string", "magic_type": "string", "entropy": "double", "phash": "string", "tokens": "array<string>", "embedding": "array<float>"}
 
 
 def scored_columns(files: DataFrame) -> DataFrame:
@@ -41,15 +41,17 @@ def near_candidates(files: DataFrame) -> DataFrame:
     return block_pairs(have, "quick_hash").unionByName(mixed)
 
 
-def near_pairs(candidates: DataFrame, min_score: int = 70, with_names: bool = True) -> DataFrame:
+def near_pairs(candidates: DataFrame, min_score: int = 70, with_names: bool = True, semantic: bool = False) -> DataFrame:
     """``(path_a, path_b, score, c_...)`` of the candidates that reach ``min_score``.
 
-    The name ratio needs Python, so it is computed only for pairs that it can still lift over the threshold.
+    The name ratio needs Python, so it is computed only for pairs that it can still lift over the threshold. ``semantic``
+    adds the points of the cosine of both files' ``embedding``; a file without one gets none.
     """
-    native = components("a", "b")
-    base = candidates.withColumn("_native", pair_score("a", "b"))
+    likeness = F.when(F.col("a.embedding").isNotNull() & F.col("b.embedding").isNotNull(), cosine(F.col("a.embedding"), F.col("b.embedding"))) if semantic else None
+    native = components("a", "b", cosine=likeness)
+    base = candidates.withColumn("_native", pair_score("a", "b", cosine=likeness))
     c = lambda k: native[k].cast("bigint").alias(f"c_{k}")
-    rest = [k for k in native if k not in ("name", "semantic")]
+    rest = [k for k in native if k != "name" and (semantic or k != "semantic")]
     if not with_names:
         return base.where(F.col("_native") >= min_score).select(F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"), F.col("_native").alias("score"), *map(c, rest))
     able = base.where(F.col("_native") + NAME_POINTS >= min_score)
@@ -116,28 +118,30 @@ def named_pairs(files: DataFrame, threshold: float = 0.85, min_score: int = 70)
     return near_pairs(met, min_score)
 
 
-def near_clusters(pairs: DataFrame, largest: int = K.MAX_CLUSTER) -> DataFrame:
+def near_clusters(pairs: DataFrame, largest: int | None = K.MAX_CLUSTER) -> DataFrame:
     """``(path, cluster, n_files, score)``: pairs merged transitively; a cluster is named by its smallest path and scored by its best pair.
 
     Clusters of more than ``largest`` files are left out: they say that the threshold is too low, not that all are alike.
+    None keeps clusters of any size.
     """
     c = connected_components(pairs, "path_a", "path_b")
     best = pairs.join(c.withColumnRenamed("id", "path_a"), "path_a").groupBy("component").agg(F.max("score").alias("score"))
-    n = c.groupBy("component").agg(F.count(F.lit(1)).alias("n_files")).where(F.col("n_files") <= largest)
+    n = c.groupBy("component").agg(F.count(F.lit(1)).alias("n_files"))
+    n = n if largest is None else n.where(F.col("n_files") <= largest)
     return c.join(n, "component").join(best, "component").select(F.col("id").alias("path"), F.col("component").alias("cluster"), "n_files", "score")
 
 
-def validated(clusters: DataFrame, pairs: DataFrame, min_similarity: float = 0.6, largest: int = K.MAX_VALIDATED_CLUSTER) -> DataFrame:
+def validated(clusters: DataFrame, pairs: DataFrame, min_similarity: float = 0.6, largest: int | None = K.MAX_VALIDATED_CLUSTER) -> DataFrame:
     """``(cluster, n_files, valid)``: valid if at least 30 % of a cluster's pairs reach ``min_similarity``.
 
     ``pairs`` are those that reach it: the rest of a cluster's n (n - 1) / 2 pairs don't, so none has to be formed.
-    Clusters of more than ``largest`` files count as valid unchecked.
+    Clusters of more than ``largest`` files count as valid unchecked; None checks all, at the same cost, as pairs are only counted.
     """
     n = clusters.groupBy("cluster").agg(F.max("n_files").alias("n_files"))
     of = clusters.select(F.col("path").alias("path_a"), "cluster")
     good = pairs.where(F.col("score") >= 100 * min_similarity).join(of, "path_a").groupBy("cluster").agg(F.count(F.lit(1)).alias("good"))
     share = F.coalesce("good", F.lit(0)) / (F.col("n_files") * (F.col("n_files") - 1) / 2)
-    return n.join(good, "cluster", "left").select("cluster", "n_files", ((F.col("n_files") > largest) | (share >= K.MIN_VALID_SHARE)).alias("valid"))
+    return n.join(good, "cluster", "left").select("cluster", "n_files", ((F.lit(False) if largest is None else F.col("n_files") > largest) | (share >= K.MIN_VALID_SHARE)).alias("valid"))
 
 
 def found_share(expected: DataFrame, found: DataFrame) -> DataFrame:

@@ -111,10 +111,11 @@ def _near() -> str:
     return REST.format(f"cast(least(100, {total}) as bigint)", ", ".join(f"cast({use[k]} as bigint) c_{k}" for k in ("size", "quick", "token", "ext", "time")))
 
 
-def _clusters() -> str:
+def _clusters(largest: int | None = 1000) -> str:
+    most = f"having count(*) <= {largest}" if largest else ""
     return "with recursive " + _near() + """, np as (select * from near where score >= 60), e as (select path_a a, path_b b from np union select path_b, path_a from np),
 walk(a, b) as (select distinct a, a from e union select walk.a, e.b from walk join e on walk.b = e.a where e.b <> walk.a),
-cc as (select a path, min(b) cluster from walk group by a), cn as (select cluster, count(*) n_files from cc group by 1 having count(*) <= 1000),
+cc as (select a path, min(b) cluster from walk group by a), cn as (select cluster, count(*) n_files from cc group by 1 """ + most + """),
 cs as (select cluster, max(score) score from np join cc on np.path_a = cc.path group by 1),
 cl as (select cc.path, cc.cluster, n_files, score from cc join cn on cc.cluster = cn.cluster join cs on cc.cluster = cs.cluster)
 """
@@ -172,18 +173,18 @@ def oracle_sql() -> dict[str, str]:
         "hash_sha256": c + "path, sha256(content) sha256_hash from c",
         "staged_hash": f"with {CONTENTS_SQL}, s as (select path, size, md5(content[1:{K.QUICK_BYTES}]) q, md5(content) h, count(*) over (partition by size) n, content from c where size > 0), t as (select *, case when n > 1 then q end quick from s), u as (select *, count(*) over (partition by size, quick) n2 from t), v as (select *, case when quick is not null and n2 > 1 and size > {K.PARTIAL_ABOVE} then md5(content[1:{K.CHUNK_BYTES}] || content[size - {K.CHUNK_BYTES} + 1:size]) end partial from u), w as (select *, count(*) over (partition by size, partial) n3 from v) select path, size, quick, partial, case when size <= {K.QUICK_BYTES} then quick when quick is not null and n2 > 1 and (size <= {K.PARTIAL_ABOVE} or n3 > 1) then h end \"full\" from w",
         "entropy": f"with {CONTENTS_SQL}, b as (select path, unnest(regexp_extract_all(hex(content[1:{K.CHUNK_BYTES}]), '..')) x from c), bn as (select path, x, count(*) n from b group by 1, 2), t as (select path, n, sum(n) over (partition by path) t from bn), h as (select path, round(-sum(n / t * log2(n / t)), 4) h from t group by 1) select c.path, coalesce(h.h, 0.0) + 0.0 entropy from c left join h on c.path = h.path",
-        "name_tokens": f + f"path, array_to_string(list_sort({TOKENS.format('name')}), ' ') tokens from f where name is not null",
-        "name_keep_score": f + f"path, {_name_score(STEM.format('name'))}::bigint name_score from f where name is not null",
+        "name_tokens": f + f"path, array_to_string(list_sort({TOKENS.format('name')}), ' ') tokens from f",
+        "name_keep_score": f + f"path, case when name is not null then {_name_score(STEM.format('name'))}::bigint end name_score from f",
         "path_keep_score": k + f"path, {_path_score('path')}::bigint path_score from k",
         "keep_score": k + f"path, greatest(0, least(200, 100 + {_name_score('stem')} + {_path_score('path')} + case when is_locked then 20 else 0 end - case when is_system then 50 else 0 end))::bigint keep_score from k",
-        "format_size": f + f"path, {sizes} size_text from f where size is not null",
-        "format_ts": f + "path, case when mtime is not null then strftime(to_timestamp(floor(mtime)) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') else 'N/A' end mtime_text from f where coalesce(mtime < 4e9, true)",
+        "format_size": f + f"path, {sizes} size_text from f",
+        "format_ts": f + "path, case when mtime < 253402300800 then strftime(to_timestamp(floor(mtime)) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') else 'N/A' end mtime_text from f",
         "ext_compat": p + f"{_compat('a.ext', 'b.ext')}::double compat {AB}",
         "phash_distance": p + f"{DISTANCE} distance {AB} where a.phash is not null and b.phash is not null",
         "token_jaccard": p + f"round({_jaccard('a.tokens', 'b.tokens')}, 6) jaccard {AB}",
         "pair_score_native": p + f"{_score(parts)} score, " + ", ".join(f"cast({v} as bigint) c_{n}" for n, v in parts.items()) + f" {AB}",
         "contextual_score": p + f"{CONTEXT} context {AB}",
-        "fusion_score": f"with {KNOWN}, {UNIT}, s as (select a.path path_a, b.path path_b, coalesce(a.hash = b.hash, false) same, 0.4 * case when coalesce(a.hash = b.hash, false) then 1.0 else 0.0 end + 0.35 * list_cosine_similarity(ea.e, eb.e) + 0.15 * {CONTEXT} fz, lower(a.category) cat {AB} join u ea on ea.vec_id = a.file_id % 500 join u eb on eb.vec_id = b.file_id % 500) select path_a, path_b, round(fz, 6) fused, same or fz >= coalesce(case cat when 'image' then 0.92 when 'document' then 0.85 when 'video' then 0.88 when 'audio' then 0.85 when 'code' then 0.90 end, 0.85) is_duplicate from s",
+        "fusion_score": f"with {KNOWN}, {UNIT}, s as (select a.path path_a, b.path path_b, coalesce(a.hash = b.hash, false) same, 0.4 * case when coalesce(a.hash = b.hash, false) then 1.0 else 0.0 end + 0.35 * list_cosine_similarity(ea.e, eb.e) + 0.15 * {CONTEXT} fz, lower(a.category) cat {AB} join u ea on ea.vec_id = a.file_id % (select count(*) from embeddings) join u eb on eb.vec_id = b.file_id % (select count(*) from embeddings)) select path_a, path_b, round(fz, 6) fused, same or fz >= coalesce(case cat when 'image' then 0.92 when 'document' then 0.85 when 'video' then 0.88 when 'audio' then 0.85 when 'code' then 0.90 end, 0.85) is_duplicate from s",
         "size_block_pairs": rest + " select a.path path_a, b.path path_b, a.size size from rest a join rest b on a.size = b.size and a.path < b.path where a.size > 0",
         "near_pairs_native": "with " + _near() + " select path_a, path_b, score, c_size, c_quick, c_token, c_ext, c_time from near where score >= 60",
         "near_pairs_capped": rest + f", o as (select size, path_a, path_b, row_number() over (partition by size order by path_a, path_b) n from near) select size, path_a, path_b from o where n <= {K.MAX_PAIRS_PER_BLOCK} order by size, path_a, path_b limit {K.MAX_PAIRS}",
@@ -192,9 +193,11 @@ def oracle_sql() -> dict[str, str]:
         "exact_groups_sha256": rest + " select size, hash, sha256_hash, count(*) n_files, sum(size)::bigint total_bytes, (sum(size) - max(size))::bigint reclaimable_bytes from x where size > 0 group by 1, 2, 3 having count(*) > 1",
         "exact_remaining": rest + " select path from rest",
         "connected_components": "with recursive e0 as (select trim(path_a, ' ' || chr(9)) a, trim(path_b, ' ' || chr(9)) b from match_pairs), e as (select a, b from e0 where a <> '' and b <> '' and a <> b union select b, a from e0 where a <> '' and b <> '' and a <> b), r(a, b) as (select distinct a, a from e union select r.a, e.b from r join e on r.b = e.a where e.b <> r.a) select a id, min(b) component from r group by a",
-        "near_clusters": _clusters() + "select path, cluster, n_files, score from cl",
-        "cluster_validate": _clusters() + ", gd as (select cluster, count(*) good from np join cc on np.path_a = cc.path where score >= 60 group by 1) select cn.cluster, n_files, n_files > 50 or coalesce(good, 0) / (n_files * (n_files - 1) / 2) >= 0.3 valid from cn left join gd on cn.cluster = gd.cluster",
-        "all_groups": _clusters() + "select 'hardlink' group_type, first_path, n_files from hl union all select 'exact', first_path, n_files from eg union all select distinct 'near', cluster, n_files from cl",
+        "near_clusters_native": _clusters() + "select path, cluster, n_files, score from cl",
+        "near_clusters_uncapped": _clusters(None) + "select path, cluster, n_files, score from cl",
+        "cluster_validate_uncapped": _clusters(None) + ", gd as (select cluster, count(*) good from np join cc on np.path_a = cc.path where score >= 60 group by 1) select cn.cluster, n_files, coalesce(good, 0) / (n_files * (n_files - 1) / 2) >= 0.3 valid from cn left join gd on cn.cluster = gd.cluster",
+        "cluster_validate_native": _clusters() + ", gd as (select cluster, count(*) good from np join cc on np.path_a = cc.path where score >= 60 group by 1) select cn.cluster, n_files, n_files > 50 or coalesce(good, 0) / (n_files * (n_files - 1) / 2) >= 0.3 valid from cn left join gd on cn.cluster = gd.cluster",
+        "all_groups_native": _clusters() + "select 'hardlink' group_type, first_path, n_files from hl union all select 'exact', first_path, n_files from eg union all select distinct 'near', cluster, n_files from cl",
         "paranoid_verify": f"with {CONTENTS_SQL}, h as (select path, size, md5(content) hash, content from c where size > 0), g as (select size, hash, min(path) first_path, arg_min(content, path) first from h group by 1, 2 having count(*) > 1) select h.path, first_path, content = first verified from h join g on h.size = g.size and h.hash = g.hash",
         "reclaimable": m + "group_id, group_type, count(*) n_files, sum(coalesce(size, 0))::bigint total_bytes, case when count(*) < 2 then 0 else sum(coalesce(size, 0)) - max(coalesce(size, 0)) end::bigint reclaimable_bytes from m group by 1, 2",
         "risk_level": m + "group_id, group_type, case when group_type = 'hardlink' then 'LOW' when coalesce(group_type <> 'exact', true) then 'HIGH' when bool_or(is_locked) then 'MEDIUM' when bool_or(is_system) then 'HIGH' else 'LOW' end risk_level from m group by 1, 2",

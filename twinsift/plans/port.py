@@ -69,12 +69,14 @@ class CommandPort:
         self._tell("scan_done", groups=n)
         return {"groups": n}
 
-    def _get_groups(self, limit: int = 100):
-        g = self.engine.totals().orderBy("group_id").limit(limit)
+    def _get_groups(self, limit: int | None = None, after: str = ""):
+        """All groups by group_id, or a page: at most ``limit`` of those that come after the group ``after``."""
+        g = self.engine.totals().where(F.col("group_id") > after).orderBy("group_id")
+        g = g if limit is None else g.limit(limit)
         return {"groups": [r.asDict() for r in g.collect()]}
 
     def _get_group(self, group_id: str):
-        rows = self.engine.groups().where(F.col("group_id") == group_id).join(self.engine.select(), ["group_id", "path"]).select("path", "size", "suggestion").orderBy("path").limit(10_000).collect()
+        rows = self.engine.groups().where(F.col("group_id") == group_id).join(self.engine.select(), ["group_id", "path"]).select("path", "size", "suggestion").orderBy("path").collect()
         if not rows:
             raise ValueError(f"no such group: {group_id}")
         return {"files": [r.asDict() for r in rows]}

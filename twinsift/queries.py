@@ -56,7 +56,7 @@ def _known_pairs(s: SparkSession, d: str) -> DataFrame:
     m = table(s, d, "match_pairs").select(clean_path(col("path_a")).alias("x"), clean_path(col("path_b")).alias("y")).where(col("x") != col("y"))
     p = m.select(F.least("x", "y").alias("pa"), F.greatest("x", "y").alias("pb")).distinct()
     f = catalog.tokens_of(_files(s, d).withColumn("name", F.coalesce("name", F.lit(""))))
-    row = F.struct("file_id", "category", *pairs.SCORED)
+    row = F.struct("file_id", "category", *[c for c in pairs.SCORED if c != "embedding"])
     return p.join(f.select(col("path").alias("pa"), row.alias("a")), "pa").join(f.select(col("path").alias("pb"), row.alias("b")), "pb").select("a", "b")
 
 
@@ -86,16 +86,17 @@ def _native_pairs(s: SparkSession, d: str) -> DataFrame:
     return pairs.near_pairs(_candidates(s, d), 60, with_names=False)
 
 
-def _clusters(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = cut(_native_pairs(s, d).select("path_a", "path_b", "score"))
-    return pairs.near_clusters(p), p
+def _clusters(s: SparkSession, d: str, names: bool = True, largest: int | None = K.MAX_CLUSTER) -> tuple[DataFrame, DataFrame]:
+    """(clusters, pairs that validation counts): of the whole score from 70 on, validated from 60 on; or of the score without names from 60 on."""
+    p = cut(pairs.near_pairs(_candidates(s, d), 60, with_names=names).select("path_a", "path_b", "score"))
+    return pairs.near_clusters(p.where(col("score") >= (70 if names else 60)), largest), p
 
 
-def _all_groups(s: SparkSession, d: str) -> DataFrame:
+def _all_groups(s: SparkSession, d: str, names: bool = True) -> DataFrame:
     f = _digested(s, d)
     g = lambda kind, files, *keys: files.dropna(subset=list(keys)).groupBy(*keys).agg(F.min("path").alias("first_path"), F.count(F.lit(1)).alias("n_files")).where(col("n_files") > 1).select(F.lit(kind).alias("group_type"), "first_path", "n_files")
     rest = groups.without_members(f, groups.hardlink_groups(f), "device", "inode")
-    near = _clusters(s, d)[0].select(F.lit("near").alias("group_type"), col("cluster").alias("first_path"), "n_files").distinct()
+    near = _clusters(s, d, names)[0].select(F.lit("near").alias("group_type"), col("cluster").alias("first_path"), "n_files").distinct()
     return g("hardlink", f, "device", "inode").unionByName(g("exact", rest.where(col("size") > 0), "size", "hash")).unionByName(near)
 
 
@@ -108,13 +109,6 @@ def _overrides(m: DataFrame) -> DataFrame:
     return m.where(col("saved").isin("KEEP", "DELETE", "REVIEW")).select("group_id", "path", F.when(col("saved") == "REVIEW", "TOGGLE").otherwise(col("saved")).alias("action"))
 
 
-def _verified(s: SparkSession, d: str) -> DataFrame:
-    """Members of exact groups against the first of their group by a second, longer digest of the whole content."""
-    c = _contents(s, d).select("path", "size", F.md5("content").alias("hash"), F.sha2("content", 512).alias("full")).where(col("size") > 0)
-    first = c.groupBy("size", "hash").agg(F.min(F.struct("path", "full")).alias("f"), F.count(F.lit(1)).alias("n")).where(col("n") > 1)
-    return c.join(first, ["size", "hash"]).select("path", col("f.path").alias("first_path"), (col("full") == col("f.full")).alias("verified"))
-
-
 def _feed(s: SparkSession, d: str) -> DataFrame:
     """The events as a feed of states: a user's properties are the state, an error takes it away."""
     e = table(s, d, "events")
@@ -133,8 +127,10 @@ def _queries_of_vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _fusion(s: SparkSession, d: str) -> DataFrame:
+    """Known pairs, each file with one of all vectors: the file's number modulo the number of vectors names it."""
     v = table(s, d, "embeddings").select("vec_id", "embedding")
-    at = lambda side: F.pmod(col(f"{side}.file_id"), F.lit(500))
+    n = max(1, v.count())
+    at = lambda side: F.pmod(col(f"{side}.file_id"), F.lit(n))
     p = _known_pairs(s, d).withColumns({"ia": at("a"), "ib": at("b")}).join(v.select(col("vec_id").alias("ia"), col("embedding").alias("va")), "ia").join(v.select(col("vec_id").alias("ib"), col("embedding").alias("vb")), "ib")
     same = F.coalesce(col("a.hash") == col("b.hash"), F.lit(False))
     p = p.withColumns({"h": F.when(same, 1.0).otherwise(0.0), "sem": X.cosine(col("va"), col("vb")), "ctx": vectors.contextual_score("a", "b")})
@@ -192,12 +188,12 @@ def queries() -> dict[str, Query]:
     q["hash_sha256"] = contents(lambda c: c.select("path", F.sha2("content", 256).alias("sha256_hash")))
     q["staged_hash"] = contents(groups.staged_digests)
     q["entropy"] = contents(lambda c: c.select("path", X.entropy(F.substring("content", 1, K.CHUNK_BYTES)).alias("entropy")))
-    q["name_tokens"] = files(lambda f: f.where(col("name").isNotNull()).select("path", F.array_join(F.array_sort(X.name_tokens(col("name"))), " ").alias("tokens")))
-    q["name_keep_score"] = files(lambda f: f.where(col("name").isNotNull()).select("path", keep.name_keep_score(X.stem(col("name"))).alias("name_score")))
+    q["name_tokens"] = files(lambda f: f.select("path", F.array_join(F.array_sort(X.name_tokens(col("name"))), " ").alias("tokens")))
+    q["name_keep_score"] = files(lambda f: f.select("path", keep.name_keep_score(X.stem(col("name"))).alias("name_score")))
     q["path_keep_score"] = files(_path_scores)
     q["keep_score"] = files(lambda f: _with_keep_parts(f).select("path", keep.keep_score(col("stem"), col("path"), col("needed"), col("is_locked"), col("is_system")).alias("keep_score")))
-    q["format_size"] = files(lambda f: f.where(col("size").isNotNull()).select("path", X.format_size(col("size")).alias("size_text")))
-    q["format_ts"] = files(lambda f: f.where(F.coalesce(col("mtime") < 4e9, F.lit(True))).select("path", X.format_ts(col("mtime")).alias("mtime_text")))
+    q["format_size"] = files(lambda f: f.select("path", X.format_size(col("size")).alias("size_text")))
+    q["format_ts"] = files(lambda f: f.select("path", X.format_ts(col("mtime")).alias("mtime_text")))
     # pairs of files
     q["ext_compat"] = known(lambda p: _paths(p, X.ext_compat(F.coalesce("a.ext", F.lit("")), F.coalesce("b.ext", F.lit(""))).alias("compat")))
     q["phash_distance"] = known(lambda p: _paths(p.where(col("a.phash").isNotNull() & col("b.phash").isNotNull()), X.phash_distance(col("a.phash"), col("b.phash")).alias("distance")))
@@ -221,7 +217,12 @@ def queries() -> dict[str, Query]:
     q["near_clusters"] = lambda s, d: _clusters(s, d)[0]
     q["cluster_validate"] = lambda s, d: pairs.validated(*_clusters(s, d))
     q["all_groups"] = _all_groups
-    q["paranoid_verify"] = _verified
+    q["near_clusters_native"] = lambda s, d: _clusters(s, d, names=False)[0]
+    q["near_clusters_uncapped"] = lambda s, d: _clusters(s, d, names=False, largest=None)[0]
+    q["cluster_validate_native"] = lambda s, d: pairs.validated(*_clusters(s, d, names=False))
+    q["cluster_validate_uncapped"] = lambda s, d: pairs.validated(*_clusters(s, d, names=False, largest=None), largest=None)
+    q["all_groups_native"] = lambda s, d: _all_groups(s, d, names=False)
+    q["paranoid_verify"] = contents(lambda c: groups.verified(c.withColumn("hash", F.md5("content"))))
     q["reclaimable"] = members(groups.group_totals)
     q["risk_level"] = members(groups.risk_levels)
     q["ranked_groups"] = members(groups.ranked)
