@@ -8,7 +8,7 @@ import pytest
 from tests.check import same_rows
 from tests.graphs import components, shapes
 from twinsift.llm import queries as llm
-from twinsift.llm.batches import batch_matches
+from twinsift.llm.batches import BatchIndex, batch_matches, match_batches
 from twinsift.llm.linkage import min_labels, path_groups
 from twinsift.llm.minmax import min_max_bands, near_name_groups, near_names
 from twinsift.llm.survivors import surviving_fields
@@ -112,6 +112,29 @@ def test_empty_batches(spark):
     assert [tuple(x) for x in batch_matches(inc, f).collect()] == [(1, 5, "exact")]
 
 
+def test_a_kept_index_needs_no_history_again(spark, tmp_path):
+    """Batches of two runs against one index equal all of them at once, and ids of history may be larger than theirs."""
+    r = random.Random(5)
+    pool = [f"{k:032x}"[:31] + "b" for k in range(30)]
+    seen = [(9000 + i, r.choice(pool), r.choice(pool)) for i in range(8)]
+    incoming = [(1000 + i, 1 + i // 10, r.choice([None, *pool]), r.choice([None, *pool])) for i in range(40)]
+    f = files(spark, *[{"file_id": i, "hash": h, "partial_hash": p} for i, h, p in seen])
+    inc = spark.createDataFrame([(*x, T) for x in incoming], "file_id long, batch_no int, hash string, partial_hash string, received_at timestamp_ntz")
+    want = {tuple(x) for x in batch_matches(inc, f).collect()}
+    assert any(m >= 9000 for m, _, _ in want)
+    root = str(tmp_path / "index")
+    got = {tuple(x) for x in batch_matches(inc.where("batch_no <= 2"), f, root=root).collect()}
+    for n in (3, 4):
+        index = BatchIndex(spark, root)
+        assert not index.empty and index.parts == n - 1
+        new = match_batches(index, inc.where(f"batch_no = {n}"))
+        assert not any("file_records" in x for x in new.inputFiles())
+        got |= {tuple(x) for x in new.collect()}
+        index.compact()
+        index.drop()
+    assert got == want
+
+
 # problem 3
 
 

@@ -21,110 +21,187 @@ def tokens(records: DataFrame) -> DataFrame:
     return records.select("file_id", F.explode(both).alias("t")).select("t.token", "t.kind", "file_id").where(F.col("token").isNotNull())
 
 
-def postings(tokens: DataFrame) -> DataFrame:
-    """One posting per token: its smallest file_id. Merged map-side, so a digest of a third of all rows stays one row a task."""
-    return tokens.groupBy("token", "kind").agg(F.min("file_id").alias("first_id"))
+def postings(tokens: DataFrame, old: bool) -> DataFrame:
+    """One posting per token: its smallest file_id. Merged map-side, so a digest of a third of all rows stays one row a task.
+
+    ``old`` marks accepted history, which counts as seen before everything, whatever its ids.
+    """
+    return tokens.groupBy("token", "kind").agg(F.min("file_id").alias("first_id")).select("token", "kind", F.lit(old).alias("old"), "first_id")
+
+
+#: Appends after which the postings are merged: a bucket never has more files than this.
+COMPACT_AFTER = 16
+_POSTING = "token binary, kind int, old boolean, first_id bigint"
+_META = "buckets int, version int, appends int, parts int, last bigint"
 
 
 class BatchIndex:
-    """An inverted index of accepted records, partitioned by token, to which batches are appended.
+    """An inverted index of accepted records, partitioned by token, that lives in a folder between runs.
 
     Records are sets of at most two tokens (hash and partial_hash) and match from an overlap of one on, so the prefix
     filter keeps n - 1 + 1 = n tokens: the prefix is the whole set, rarest first or not, and every size passes the length
     filter (sizes 1 and 2, overlap 1). What the rare-token order would cut is cut by merging: a posting list holds only
     the smallest id of a token, as only that can be a result.
 
-    On disk, in the shared folder: the postings, one table bucketed by token, and a log of the batches' tokens, one part
-    a batch. A batch is shuffled to the buckets and meets its postings there; the postings are neither shuffled nor
-    sorted again, and the history behind them is never read again. Appends add files to the buckets. A token may have one
-    posting per append; probes take the minimum.
+    In ``root``, which all executors share: the postings, bucketed by token; a log of the batches' tokens, one part a
+    batch; and what is known about both. Opening an index that is there reads none of its history: a batch is shuffled to
+    the buckets and meets its postings there, which are neither shuffled nor sorted again. Appends add files to the
+    buckets and are merged from time to time. A token may have one posting per append; probes take the minimum, so a batch
+    that is taken twice, after a failure, changes nothing. Without ``root`` the index is a scratch one, removed by ``drop``.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark = spark
-        #: Index partitions; the session's shuffle partitions unless given, as both follow the size of the data.
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark: SparkSession, root: str | None = None, buckets: int | None = None):
+        self.spark, self.kept = spark, root is not None
+        self.root = root or scratch(spark, "batch-index")
         self.table = f"twinsift_postings_{uuid.uuid4().hex}"
-        self.path, self.log_path = scratch(spark, "postings"), scratch(spark, "batch-log")
-        self.parts: list[str] = []
-        self.last: int | None = None  # largest id of any batch so far
+        known = self._known()
+        #: Index partitions; the session's shuffle partitions unless given, as both follow the size of the data.
+        self.buckets = known.buckets if known else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.version, self.appends, self.parts = (known.version, known.appends, known.parts) if known else (0, 0, 0)
+        self.last: int | None = known.last if known else None  # largest id of any batch so far
+        if self.appends:
+            self._register()
+
+    @property
+    def empty(self) -> bool:
+        """Whether nothing has been indexed yet."""
+        return not self.appends
+
+    def _known(self):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/about")
+        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+            return None
+        # of two states, left by a failure between writing and removing, the later counts
+        return self.spark.read.schema(_META).json(f"{self.root}/about/*").orderBy(F.desc("parts"), F.desc("version"), F.desc("appends")).first()
+
+    def _save(self) -> None:
+        where, new = f"{self.root}/about", uuid.uuid4().hex
+        row = [(self.buckets, self.version, self.appends, self.parts, self.last)]
+        self.spark.createDataFrame(row, _META).coalesce(1).write.json(f"{where}/{new}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        for f in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path):
+            if f.getPath().getName() != new:
+                remove(self.spark, f.getPath().toString())
+
+    def _path(self) -> str:
+        return f"{self.root}/postings-{self.version}"
+
+    def _register(self) -> None:
+        self.spark.sql(f"drop table if exists {self.table}")
+        self.spark.sql(f"create table {self.table} ({_POSTING}) using parquet clustered by (token) into {self.buckets} buckets location '{self._path()}'")
 
     def _append(self, firsts: DataFrame) -> None:
-        firsts.repartition(self.buckets, "token").write.mode("append").format("parquet").bucketBy(self.buckets, "token").option("path", self.path).saveAsTable(self.table)
+        firsts.repartition(self.buckets, "token").write.mode("append").format("parquet").bucketBy(self.buckets, "token").option("path", self._path()).saveAsTable(self.table)
+        self.appends += 1
 
-    def _log(self, parts: list[str]) -> DataFrame:
-        return self.spark.read.schema("token binary, kind int, file_id bigint").parquet(*parts)
+    def _log(self, parts: list[int]) -> DataFrame:
+        return self.spark.read.schema("token binary, kind int, file_id bigint").parquet(*[f"{self.root}/log/{k}" for k in parts])
 
     def load_history(self, records: DataFrame) -> None:
-        """Index the accepted records; done once, not per batch."""
-        self._append(postings(tokens(records)))
+        """Index the accepted records; done once in the life of an index."""
+        self._append(postings(tokens(records), True))
+        self._save()
+
+    def compact(self) -> None:
+        """Merge the postings of all appends into one per token, bucket by bucket, without a shuffle."""
+        merged = self.spark.table(self.table).groupBy("token", "kind", "old").agg(F.min("first_id").alias("first_id")).select("token", "kind", "old", "first_id")
+        before, table = self._path(), self.table
+        self.version, self.appends, self.table = self.version + 1, 0, f"twinsift_postings_{uuid.uuid4().hex}"
+        self._append(merged)
+        self._save()
+        self.spark.sql(f"drop table if exists {table}")
+        remove(self.spark, before)
 
     def take(self, batch: DataFrame, low: int, high: int) -> DataFrame:
         """Probe a batch, append it, and return ``(file_id, kind, match_id)`` for whatever its arrival settles.
 
         Besides the batch's own records these are earlier ones: a record that arrives late, with a smaller file_id than
         records already judged, counts as seen before them. ``low`` and ``high`` are the batch's smallest and largest
-        file_id; earlier batches are looked at only if they can hold a larger id than ``low``. The returned frame reads
-        only immutable parts, so it may be evaluated after later batches.
+        file_id; earlier batches are looked at only if they can hold a larger id than ``low``. The result is written, so
+        that neither the index nor a plan over all batches is needed to read it later.
         """
-        earlier, part = list(self.parts), f"{self.log_path}/{len(self.parts)}"
-        tokens(batch).write.parquet(part)
-        self.parts.append(part)
-        new = postings(self._log([part]))
+        part = self.parts
+        tokens(batch).write.mode("overwrite").parquet(f"{self.root}/log/{part}")
+        new = postings(self._log([part]), False)
         # the batch is the build side: each bucket of the index streams past the batch's tokens of that bucket, unsorted
-        old = self.spark.table(self.table).join(new.select("token", "kind").hint("shuffle_hash"), ["token", "kind"])
-        firsts = cut(new.unionByName(old).groupBy("token", "kind").agg(F.min("first_id").alias("first_id")))
-        self._append(firsts)
+        old = self.spark.table(self.table).join(new.select("token", "kind").hint("shuffle_hash"), ["token", "kind"]) if self.appends else new.limit(0)
+        firsts = cut(new.unionByName(old).groupBy("token", "kind", "old").agg(F.min("first_id").alias("first_id")))
+        self._append(firsts.where(~F.col("old")))
         hits = self._log([part]).join(firsts, ["token", "kind"])
-        if self.last is not None and low < self.last:
-            hits = hits.unionByName(self._log(earlier).join(firsts.where(F.col("first_id") < F.lit(self.last)), ["token", "kind"]))
-        self.last = high if self.last is None else max(self.last, high)
-        return hits.where(F.col("first_id") < F.col("file_id")).select("file_id", "kind", F.col("first_id").alias("match_id"))
+        if part and self.last is not None and low < self.last:
+            hits = hits.unionByName(self._log([*range(part)]).join(firsts.where(~F.col("old") & (F.col("first_id") < F.lit(self.last))), ["token", "kind"]))
+        found = hits.where(F.col("old") | (F.col("first_id") < F.col("file_id"))).select("file_id", "kind", F.col("first_id").alias("match_id"))
+        found = found.groupBy("file_id").agg(F.min(F.struct("kind", "match_id")).alias("m")).select("file_id", "m.kind", "m.match_id")
+        found.write.mode("overwrite").parquet(f"{self.root}/found/{part}")
+        self.parts, self.last = part + 1, high if self.last is None else max(self.last, high)
+        self._save()
+        if self.appends > COMPACT_AFTER:
+            self.compact()
+        return self.found([part])
+
+    def found(self, parts: list[int]) -> DataFrame:
+        return self.spark.read.schema("file_id bigint, kind int, match_id bigint").parquet(*[f"{self.root}/found/{k}" for k in parts])
 
     def drop(self) -> None:
+        """Forget the table of this session, and a scratch index altogether."""
         self.spark.sql(f"drop table if exists {self.table}")
-        for path in (self.path, self.log_path):
-            remove(self.spark, path)
+        if not self.kept:
+            remove(self.spark, self.root)
 
 
-def batch_matches(incoming: DataFrame, files: DataFrame, buckets: int | None = None) -> DataFrame:
-    """``(match_id, file_id, match_kind)``: each incoming record that equals something seen before it.
+def match_batches(index: BatchIndex, incoming: DataFrame) -> DataFrame:
+    """``(match_id, file_id, match_kind)`` of what the batches of ``incoming`` settle, which the index accepts one after the other.
 
-    Seen before are the current ``file_records`` rows and incoming records with a smaller file_id. ``exact``: one of them
-    has the same hash; else ``near``: one has the same partial_hash. match_id is the smallest file_id of those that match
-    in that way. Batches go through the index in the order of batch_no, those without a number first; a record delivered
-    again is judged again with the same outcome. Records without a file_id give no row.
+    ``exact``: something seen before has the same hash; else ``near``: the same partial_hash. match_id is the smallest
+    file_id of those that match in that way. Batches are taken in the order of batch_no, those without a number first; a
+    record delivered again is judged again with the same outcome. Records without a file_id give no row. A record of an
+    earlier run has a row if a late record of these batches counts as seen before it.
     """
-    spark = incoming.sparkSession
+    spark, first = incoming.sparkSession, index.parts
     inbox = incoming.where(F.col("file_id").isNotNull()).select("file_id", "batch_no", "hash", "partial_hash", "received_at")
-    # one row per batch: a bounded list of batch numbers with their id ranges
-    runs = inbox.groupBy("batch_no").agg(F.min("file_id").alias("low"), F.max("file_id").alias("high")).collect()
-    index = BatchIndex(spark, buckets)
     try:
-        reset_jobs(spark, "batch index: history")
-        index.load_history(current_files(files, "hash", "partial_hash", "scanned_at"))
-        settled = inbox.select("file_id", F.lit(EXACT).alias("kind"), F.col("file_id").alias("match_id")).where(F.lit(False))
+        # one row per batch: a list of batch numbers with their id ranges
+        runs = inbox.groupBy("batch_no").agg(F.min("file_id").alias("low"), F.max("file_id").alias("high")).collect()
         for run in sorted(runs, key=lambda r: (r.batch_no is not None, r.batch_no or 0)):
             reset_jobs(spark, f"batch index: batch {run.batch_no}")
             batch = latest(inbox.where(F.col("batch_no").eqNullSafe(F.lit(run.batch_no))), "file_id", "received_at", ["file_id", "hash", "partial_hash", "received_at"])
-            settled = settled.unionByName(index.take(batch, run.low, run.high))
-        best = settled.groupBy("file_id").agg(F.min(F.struct("kind", "match_id")).alias("m"))
-        kind = F.when(F.col("m.kind") == EXACT, F.lit("exact")).otherwise(F.lit("near"))
-        return cut(best.select(F.col("m.match_id").alias("match_id"), "file_id", kind.alias("match_kind")))
+            index.take(batch, run.low, run.high)
+    finally:
+        reset_jobs(spark, "")
+    if index.parts == first:
+        return inbox.select(F.col("file_id").alias("match_id"), "file_id", F.lit("exact").alias("match_kind")).where(F.lit(False))
+    best = index.found([*range(first, index.parts)]).groupBy("file_id").agg(F.min(F.struct("kind", "match_id")).alias("m"))
+    kind = F.when(F.col("m.kind") == EXACT, F.lit("exact")).otherwise(F.lit("near"))
+    return best.select(F.col("m.match_id").alias("match_id"), "file_id", kind.alias("match_kind"))
+
+
+def batch_matches(incoming: DataFrame, files: DataFrame, buckets: int | None = None, root: str | None = None) -> DataFrame:
+    """``match_batches`` with the current ``file_records`` rows as history.
+
+    ``root`` names an index to keep: the first run indexes the history, later ones don't look at ``files`` any more.
+    """
+    spark = incoming.sparkSession
+    index = BatchIndex(spark, root, buckets)
+    try:
+        if index.empty:
+            reset_jobs(spark, "batch index: history")
+            index.load_history(current_files(files, "hash", "partial_hash", "scanned_at"))
+        return cut(match_batches(index, incoming))
     finally:
         reset_jobs(spark, "")
         index.drop()
 
 
 BATCH_SQL = r"""
-with d as (select file_id, hash h, partial_hash p from (select *, row_number() over (partition by file_id order by scanned_at desc) rn from file_records) where rn = 1
-  union all select distinct file_id, hash, partial_hash from incoming_files),
-t as (select file_id, regexp_extract(lower(replace(h, '-', '')), '(^|[^0-9a-f])([0-9a-f]{32})($|[^0-9a-f])', 2) h,
+with d as (select true old, file_id, hash h, partial_hash p from (select *, row_number() over (partition by file_id order by scanned_at desc) rn from file_records) where rn = 1
+  union all select distinct false, file_id, hash, partial_hash from incoming_files),
+t as (select old, file_id, regexp_extract(lower(replace(h, '-', '')), '(^|[^0-9a-f])([0-9a-f]{32})($|[^0-9a-f])', 2) h,
   regexp_extract(lower(replace(p, '-', '')), '(^|[^0-9a-f])([0-9a-f]{32})($|[^0-9a-f])', 2) p from d),
-k as (select file_id, case when h <> repeat(left(h, 1), 32) then h end h, case when p <> repeat(left(p, 1), 32) then p end p from t),
-a as (select file_id, h, p, min(file_id) over (partition by h) fh, min(file_id) over (partition by p) fp from k),
-i as (select distinct file_id, case when h is not null and fh < file_id then fh end eh, case when p is not null and fp < file_id then fp end ep
-  from a where file_id in (select file_id from incoming_files))
+k as (select old, file_id, case when h <> repeat(left(h, 1), 32) then h end h, case when p <> repeat(left(p, 1), 32) then p end p from t),
+a as (select old, file_id, h, p, min(file_id) filter (old) over (partition by h) oh, min(file_id) filter (not old) over (partition by h) nh,
+  min(file_id) filter (old) over (partition by p) op, min(file_id) filter (not old) over (partition by p) np from k),
+i as (select distinct file_id, case when h is not null then least(oh, case when nh < file_id then nh end) end eh, case when p is not null then least(op, case when np < file_id then np end) end ep
+  from a where not old)
 select coalesce(min(eh), min(ep)) match_id, file_id, case when min(eh) is not null then 'exact' else 'near' end match_kind
 from i group by file_id having coalesce(min(eh), min(ep)) is not null
 """
