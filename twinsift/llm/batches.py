@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,16 +73,18 @@ class BatchIndex:
         if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
             return None
         # of two states, left by a failure between writing and removing, the later counts
-        return self.spark.read.schema(_META).json(f"{self.root}/about/*").orderBy(F.desc("parts"), F.desc("version"), F.desc("appends")).first()
+        return self.spark.read.schema(_META).json(f"{self.root}/about").orderBy(F.desc("parts"), F.desc("version"), F.desc("appends")).first()
 
     def _save(self) -> None:
-        where, new = f"{self.root}/about", uuid.uuid4().hex
-        row = [(self.buckets, self.version, self.appends, self.parts, self.last)]
-        self.spark.createDataFrame(row, _META).coalesce(1).write.json(f"{where}/{new}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
-        for f in path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path):
+        """A small file written by the driver, without a job; the ones before it go when it is there."""
+        where, new = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/about"), f"{uuid.uuid4().hex}.json"
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        out = fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(where, new), True)
+        out.write(bytearray(json.dumps({"buckets": self.buckets, "version": self.version, "appends": self.appends, "parts": self.parts, "last": self.last}) + "\n", "utf-8"))
+        out.close()
+        for f in fs.listStatus(where):
             if f.getPath().getName() != new:
-                remove(self.spark, f.getPath().toString())
+                fs.delete(f.getPath(), True)
 
     def _path(self) -> str:
         return f"{self.root}/postings-{self.version}"
