@@ -318,3 +318,13 @@ def test_a_third_of_a_language_read_wrongly_is_found(spark, larger):
     judge = Restorer(fit_speller(docs(spark, *[(i, b, x) for (i, _, x), b in zip(able, bad)]))).judge
     hit = [judge(b)[0] for (_, t, _), b in zip(able, bad) if b != t]
     assert len(hit) > 10 and sum(hit) >= 0.95 * len(hit)
+
+
+def test_all_labelled_texts_are_counted_whole(spark):
+    rows = [(100 * k + i, f"n{k}-{i} " + "plain words " * 600 + f"žluťouč{chr(97 + k % 26)}{chr(97 + k // 26)}", f"l{k:02}") for k in range(40) for i in range(2)]
+    rows += [(9000 + i, f"text {i}" + " naïve" * (i % 500 == 7), "en") for i in range(1000)] + [(10_000 + i, "text 7 naïve", "en") for i in range(9)]
+    s = fit_speller(docs(spark, *rows))
+    assert len(s.alphabets) == len(s.raw) == 41
+    assert {f"žluťouč{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40)} <= s.words
+    # two of a thousand texts weigh less than two of 400
+    assert "naïve" not in s.words

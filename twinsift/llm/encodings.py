@@ -10,14 +10,16 @@ import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import or_
 
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import cut
+from ..plans.runtime import Workspace
 from .tokens import spread
 
 #: Encodings that text may have been read with, and those it may have been written in.
@@ -41,10 +43,15 @@ LEAST_EVIDENCE = 0.25
 CLOSE = 4.0
 #: So many chains of a sentence are remembered for the choice between the chains of its text.
 MOST_CHAINS = 8
-#: Bounds of the labelled sample that the dictionaries are made from: the most frequent languages, documents of each,
-#: and characters of a document. Together at most 32 x 400 x 6,000.
-SAMPLE_LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS = 32, 400, 6_000
+#: In counts, the texts of a language together weigh as much as so many at most, so that no language outvotes others.
+LANGUAGE_WEIGHT = 400
+#: Something is usual if texts of at least this weight have it: ASCII runs, words, pairs of neighbours.
+USUAL = {"run": 3, "word": 2, "pair": 2}
 DICTIONARY_BYTES = 65_536
+#: Texts to train on stand for themselves up to so many bytes of a language and part; more are first condensed to a dictionary.
+UNCONDENSED_BYTES = 2_000_000
+#: So many parts of the texts to train on are merged at once.
+MERGED_PARTS = 16
 LEVEL = 3
 #: What a failed decode leaves behind: such a character is lost, so it is evidence but can't be restored.
 LOST = "�"
@@ -209,6 +216,17 @@ class Speller:
         self.raw = {k: _dictionary([t.translate(_Recoding(self.alphabets[k])).encode("latin-1") for t in v]) for k, v in samples.items()}
         self.__setstate__(self.__getstate__())
 
+    @classmethod
+    def of(cls, alphabets: dict[str, list[str]], lexicon: frozenset[str], words: frozenset[str], pairs: frozenset[str], raw: dict[str, tuple[bytes, bool]]) -> Speller:
+        """A speller from counts and dictionaries that were made elsewhere."""
+        s = cls.__new__(cls)
+        s.__setstate__({"alphabets": alphabets, "lexicon": lexicon, "words": words, "pairs": pairs, "raw": raw})
+        return s
+
+    def with_languages_of(self, other: Speller) -> Speller:
+        """This speller with the alphabets and dictionaries of the languages that only the other one knows."""
+        return Speller.of({**other.alphabets, **self.alphabets}, self.lexicon, self.words, self.pairs, {**other.raw, **self.raw})
+
     def __getstate__(self):
         return {k: self.__dict__[k] for k in ("alphabets", "lexicon", "words", "pairs", "raw")}
 
@@ -287,15 +305,17 @@ def _cores(word: str) -> list[str]:
 
 def _usual(samples: dict[str, list[str]]) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
     """What at least three texts have of ASCII runs, and at least two of words and of pairs of neighbours outside ASCII."""
-    runs: Counter = Counter()
-    words: Counter = Counter()
-    pairs: Counter = Counter()
-    for t in (t for v in samples.values() for t in v):
-        u = _DIGITS.sub("0", t)
-        runs.update(set(_ASCII_RUNS.findall(u)))
-        words.update(set(_cores(t)))
-        pairs.update(_pairs(u))
-    return frozenset(w for w, n in runs.items() if n >= 3), frozenset(w for w, n in words.items() if n >= 2), frozenset(p for p, n in pairs.items() if n >= 2)
+    counts: dict[str, Counter] = {k: Counter() for k in USUAL}
+    for found in (_tokens(t) for v in samples.values() for t in v):
+        for k, c in counts.items():
+            c.update(found[k])
+    return tuple(frozenset(t for t, n in counts[k].items() if n >= least) for k, least in USUAL.items())
+
+
+def _tokens(text: str) -> dict[str, set[str]]:
+    """What of a text is counted: its letters outside ASCII, ASCII runs, words, and pairs of neighbours."""
+    u = _DIGITS.sub("0", text)
+    return {"letter": {c for c in set(text) if c > "\x7f" and c != LOST}, "run": set(_ASCII_RUNS.findall(u)), "word": set(_cores(text)), "pair": _pairs(u)}
 
 
 def _foreign(result: str, word: str) -> bool:
@@ -487,8 +507,8 @@ class Restorer:
 
 def _pairs(text: str) -> set[str]:
     """The pairs of neighbours of a text, line ends and tabs read as blanks, that hold a character outside ASCII."""
-    t = text.replace("\n", " ").replace("\t", " ")
-    return {p for p in map(str.__add__, f" {t}", f"{t} ") if not p.isascii()}
+    t = f" {text} ".replace("\n", " ").replace("\t", " ")
+    return {p for k in _keys(t) for p in map(str.__add__, k, k[1:])}
 
 
 def plain_texts(texts: list[str]) -> list[str]:
@@ -540,26 +560,115 @@ def _restored(b: pd.DataFrame, found: list) -> pd.DataFrame:
     return out
 
 
-def fit_speller(docs: DataFrame, languages: int = SAMPLE_LANGUAGES, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Speller:
-    """Dictionaries from a bounded sample: of the most frequent labelled ``languages`` ``sample_docs`` documents each, ``sample_chars`` of each.
+class _Tally:
+    """How many texts of a language have each letter outside ASCII, ASCII run, word and pair of neighbours."""
+
+    def __init__(self, rating: int):
+        self.rating, self.texts = rating, 0
+        self.counts: dict[str, Counter] = {k: Counter() for k in ("letter", *USUAL)}
+
+    def add(self, text: str) -> None:
+        self.texts += 1
+        found = _tokens(text)
+        for k, c in self.counts.items():
+            c.update(found[k])
+
+    def rows(self, lang: str) -> pd.DataFrame:
+        rows = [(lang, self.rating, "text", "", self.texts)] + [(lang, self.rating, k, t, n) for k, c in self.counts.items() for t, n in c.items()]
+        return pd.DataFrame(rows, columns=["lang", "rating", "kind", "token", "n"])
+
+
+def _tally(batches: Iterator[pd.DataFrame], rate) -> Iterator[pd.DataFrame]:
+    """``(lang, text)`` -> ``(lang, rating, kind, token, n)``, of each language's texts with the lowest rating in the partition; texts rated None are left out."""
+    best: dict[str, _Tally] = {}
+    for b in batches:
+        for lang, text in zip(b["lang"], b["text"]):
+            n = rate(text)
+            if n is not None and (lang not in best or n <= best[lang].rating):
+                if lang not in best or n < best[lang].rating:
+                    best[lang] = _Tally(n)
+                best[lang].add(text)
+    for lang, t in best.items():
+        yield t.rows(lang)
 
-    The documents are those with the smallest seeded hashes. Labels are read without case and surrounding blanks; null,
-    blank and "und" label nothing. Equal texts count once. The sample holds garbled texts too: dictionaries of its plain part judge all of it,
-    and those made from what they leave are the result.
+
+def _rating(text: str) -> int:
+    """0 for texts without violations and lost characters."""
+    return text.count(LOST) + violations(text)
+
+
+def _condensed(pieces: list[bytes]) -> list[bytes]:
+    """Pieces of a language's texts, or a dictionary trained on them if they are many."""
+    if sum(map(len, pieces)) <= UNCONDENSED_BYTES:
+        return pieces
+    return [_dictionary(pieces)[0]]
+
+
+def _merged(b: pd.DataFrame) -> pd.DataFrame:
+    pieces = _condensed([x for p in b["pieces"] for x in p])
+    return pd.DataFrame({"lang": [b["lang"].iloc[0]], "part": [b["part"].iloc[0]], "pieces": [pieces]})
+
+
+def _trained(texts: DataFrame, alphabets: dict[str, list[str]], ratings: dict[str, int], rate) -> dict[str, tuple[bytes, bool]]:
+    """A dictionary per language from all its texts of the lowest rating: partitions condense theirs, and parts are merged until one is left."""
+
+    def condense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part = TaskContext.get().partitionId()
+        recode = {k: _Recoding(v) for k, v in alphabets.items()}
+        found: dict[str, list[bytes]] = {}
+        for b in batches:
+            for lang, text in zip(b["lang"], b["text"]):
+                if lang in ratings and rate(text) == ratings[lang]:
+                    found.setdefault(lang, []).append(text.translate(recode[lang]).encode("latin-1"))
+        for lang, pieces in found.items():
+            yield pd.DataFrame({"lang": [lang], "part": [part], "pieces": [_condensed(pieces)]})
+
+    kind = "lang string, part bigint, pieces array<binary>"
+    left, parts = texts.rdd.getNumPartitions(), texts.mapInPandas(condense, kind)
+    while left > 1:
+        parts, left = parts.withColumn("part", F.expr(f"part div {MERGED_PARTS}")).groupBy("lang", "part").applyInPandas(_merged, kind), -(-left // MERGED_PARTS)
+    found: dict[str, list[bytes]] = {}
+    for r in sorted(parts.collect(), key=lambda r: (r.lang, r.part)):
+        found.setdefault(r.lang, []).extend(map(bytes, r.pieces))
+    return {k: _dictionary(v) for k, v in sorted(found.items())}
+
+
+def _fitted(texts: DataFrame, rate, at: Workspace) -> Speller:
+    """The speller of all ``texts`` (``lang``, ``text``) that ``rate`` rates lowest within their language."""
+    kind = "lang string, rating bigint, kind string, token string, n bigint"
+    counts = at.keep(texts.mapInPandas(lambda b: _tally(b, rate), kind).groupBy("lang", "rating", "kind", "token").agg(F.sum("n").alias("n")))
+    rated = counts.where(F.col("kind") == "text").groupBy("lang").agg(F.min(F.struct("rating", "n")).alias("m")).select("lang", "m.rating", F.col("m.n").alias("texts")).collect()
+    known = texts.sparkSession.createDataFrame([(r.lang, r.rating, r.texts) for r in rated], "lang string, rating bigint, texts bigint")
+    c = counts.join(F.broadcast(known), ["lang", "rating"])  # a row per language
+    least = F.greatest(F.lit(2.0), 0.01 * F.col("texts"))
+    alphabets: dict[str, list[str]] = {r.lang: [] for r in rated}
+    for r in sorted(c.where((F.col("kind") == "letter") & (F.col("n") >= least)).collect(), key=lambda r: (r.lang, -r.n, r.token)):
+        alphabets[r.lang].append(r.token)
+    weight = F.sum(F.col("n") * F.least(F.lit(1.0), LANGUAGE_WEIGHT / F.col("texts")))
+    total = c.groupBy("kind", "token").agg(weight.alias("weight"))
+    usual: dict[str, set[str]] = {k: set() for k in USUAL}
+    for r in total.where(reduce(or_, ((F.col("kind") == k) & (F.col("weight") >= w - 1e-9) for k, w in USUAL.items()))).collect():
+        usual[r.kind].add(r.token)
+    raw = _trained(texts, alphabets, {r.lang: r.rating for r in rated}, rate)
+    return Speller.of({k: alphabets[k] for k in raw}, *(frozenset(usual[k]) for k in USUAL), raw)
+
+
+def fit_speller(docs: DataFrame) -> Speller:
+    """Dictionaries and counts from all labelled texts, whole and in all languages.
+
+    Labels are read without case and surrounding blanks; null, blank and "und" label nothing. Equal texts count once.
+    Texts may be garbled too: a speller of those without violations judges all of them, and the one made from what it
+    leaves is the result. A language of which it leaves none keeps its first.
     """
     lang = F.lower(F.btrim("lang", F.lit(" \t")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id")
-    labelled = docs.where(F.col("text") != "").select("doc_id", lang.alias("lang")).where(~F.col("lang").isin("", "und"))
-    frequent = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    ranked = labelled.join(F.broadcast(frequent.select("lang")), "lang").distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs)
-    # at most languages x sample_docs ids
-    texts = cut(docs.select("doc_id", F.substring("text", 1, sample_chars).alias("text")).join(F.broadcast(ranked.select("doc_id", "lang")), "doc_id"))
-    by_lang = lambda rows: {k: [t for x, t in sorted(set(rows)) if x == k] for k in sorted({x for x, _ in rows})}
-    everything = by_lang([(r.lang, r.text) for r in texts.collect()])
-    plain = {k: plain_texts(v) for k, v in everything.items()}
-    kept = texts.mapInPandas(_mapper(Speller(plain), _clean), "lang string, text string").collect()
-    clean = by_lang([(r.lang, r.text) for r in kept])
-    return Speller({k: clean.get(k) or plain[k] for k in everything})
+    labelled = docs.where(F.col("text") != "").select(lang.alias("lang"), "text").where(~F.col("lang").isin("", "und")).withColumn("digest", F.md5("text"))
+    spark = docs.sparkSession
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with Workspace(spark, "speller") as at:
+        texts = at.keep(labelled.repartition(tasks, "digest").dropDuplicates(["lang", "digest"]).drop("digest"))
+        plain = _fitted(texts, _rating, at)
+        judged = at.keep(texts.mapInPandas(_mapper(plain, _clean), "lang string, text string"))
+        return _fitted(judged, lambda _: 0, at).with_languages_of(plain)
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
