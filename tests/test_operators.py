@@ -202,6 +202,39 @@ def test_named_pairs_equal_brute_force(spark):
         assert want and {(x.path_a, x.path_b, x.score) for x in pairs.named_pairs(f, min_score=least).collect()} == want
 
 
+@pytest.mark.parametrize("least", [0, 30, 50, 55, 56, 70])
+def test_named_pairs_of_any_score_and_odd_names(spark, least):
+    """Also from scores on that files without a common column reach, and of names that are longer in lower case."""
+    import random
+    from collections import Counter
+
+    r = random.Random(9)
+    names = ["\u0130", "\u0130", "x", "", None, "\U0001f4c4\U0001f4c4", "\U0001f4c4\U0001f4c4", "report_2020.txt", "Report_2021.txt", "REPORT_2020.TXT", "photo (1)"]
+    value = {"parent": lambda: r.choice(["/d", ""]), "ext": lambda: r.choice(["txt", "md", None]), "size": lambda: r.choice([100, 97, 92, 10_000, None]), "mtime": lambda: r.choice([1e9, 1e9 + 3599, 1.1e9, None]), "magic_type": lambda: r.choice(["m", None]), "quick_hash": lambda: r.choice(["q", "r", None])}
+    rows = [(f"/{i:02}", names[i % len(names)], *[v() for v in value.values()]) for i in range(66)]
+    f = spark.createDataFrame(rows, "path string, name string, parent string, ext string, size long, mtime double, magic_type string, quick_hash string")
+    row = lambda n: pairs.scored_columns(f).select(F.struct("*").alias(n))
+    count = lambda n: Counter(map(str.__add__, n, n[1:]))
+    cos = lambda a, b: sum(a[g] * b[g] for g in a) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
+    grams = {x[0]: count((x[1] or "").lower()) for x in rows}
+    like = {(a, b) for a, b in itertools.combinations(grams, 2) if grams[a] and grams[b] and cos(grams[a], grams[b]) > 0.85}
+    every = pairs.near_pairs(row("a").crossJoin(row("b")).where("a.path < b.path"), least)
+    want = {(x.path_a, x.path_b, x.score) for x in every.collect() if (x.path_a, x.path_b) in like}
+    assert any(int(a[1:]) % len(names) < 2 for a, _, _ in want)
+    assert {(x.path_a, x.path_b, x.score) for x in pairs.named_pairs(f, min_score=least).collect()} == want
+
+
+def test_named_pairs_of_very_long_names(spark):
+    import pyarrow as pa
+
+    f = spark.createDataFrame([(f"/{i}", "a" * 60_000, "txt", 100, "q") for i in range(2)], "path string, name string, ext string, size long, quick_hash string")
+    assert [(r.path_a, r.path_b, r.score) for r in pairs.named_pairs(f).collect()] == [("/0", "/1", 92)]
+    long = "".join(map(chr, range(0x4E00, 0x4E00 + 5_000)))
+    [out] = pairs._meeting_places({}, 0.85)([pa.RecordBatch.from_pydict({"id": [0, 1], "name": [long, long[:4_500]], "block": [1, 1], "shared": [1, 1]})])
+    a, b = map(set, out.column("keys").to_pylist())
+    assert a & b and len(a) == 1 + int((1 - 0.85**2) * 4_999)
+
+
 def test_like_names_share_a_meeting_place():
     import random
     from collections import Counter

@@ -119,12 +119,12 @@ def _rarest_sets(grams: list[int], masses: list[int], shared: int, budget: float
     found: list[int] = []
 
     def go(i: int, left: int, skipped: int, number: int) -> None:
-        if not left or i == len(grams):
-            found.append(number)
-            return
-        go(i + 1, left - 1, skipped, (number * 0x9E3779B97F4A7C15 + grams[i] + 1) & 0xFFFFFFFFFFFFFFFF)
-        if skipped + masses[i] <= budget:
-            go(i + 1, left, skipped + masses[i], number)
+        while left and i < len(grams):  # calls go only as deep as grams are shared, however long the name
+            go(i + 1, left - 1, skipped, (number * 0x9E3779B97F4A7C15 + grams[i] + 1) & 0xFFFFFFFFFFFFFFFF)
+            skipped, i = skipped + masses[i], i + 1
+            if skipped > budget:
+                return
+        found.append(number)
 
     go(0, shared, 0, block & 0xFFFFFFFFFFFFFFFF)
     return found
@@ -155,7 +155,8 @@ def _blocks(files: DataFrame, min_score: int) -> DataFrame:
     """``(id, name, block)``: without tokens, entropy and perceptual hashes, two files that share no block score less than ``min_score``.
 
     Equal digests score 100. Files of equal size share a block. Sizes that differ give at most 15 points and everything
-    else 55, so what such files may lack to ``min_score`` tells which columns must be equal, and within which time.
+    else 55, so what such files may lack to ``min_score`` tells which columns must be equal, and within which time. Up to 55,
+    no column must be: all share one block.
     """
     lack = 70 - min_score
     equal = [F.col(c) for c, loss in (("ext", 7), ("magic_type", 8), ("parent", 5)) if loss > lack]
@@ -163,10 +164,11 @@ def _blocks(files: DataFrame, min_score: int) -> DataFrame:
     # two times that are no further apart than the span share a place of one of two grids, half a place apart
     place = lambda i: F.floor(F.col("mtime") / (7200.0 * hours) + i / 2)
     key = lambda kind, *c: F.when(reduce(and_, (x.isNotNull() for x in c), F.lit(True)), F.xxhash64(F.lit(kind), *c))
-    keys = [key("size", F.col("size")), key("hash", F.col("hash"))]
-    if lack >= 0:
+    keys = [key("size", F.col("size")), key("hash", F.col("hash"))] if min_score > 55 else [key("all")]
+    if 0 <= lack < 15:
         keys += [key(f"time {i}", *equal, place(i)) for i in (0, 1)] if hours else [key("rest", *equal)]
-    return files.where(F.length("name") > 1).select("id", F.lower("name").alias("name"), F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("block"))
+    # lower case first: it can be longer
+    return files.withColumn("name", F.lower("name")).where(F.length("name") > 1).select("id", "name", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("block"))
 
 
 def _named_candidates(files: DataFrame, threshold: float, min_score: int) -> DataFrame:
@@ -184,14 +186,14 @@ def _named_candidates(files: DataFrame, threshold: float, min_score: int) -> Dat
     # microseconds: 2 for a set, and for a pair 0.05 times how often names share that many rare bigrams
     cost = F.array(*[2 * s + n * n * p for s, p in zip(sets, (2.5e-2, 2.5e-3, 1.6e-4, 7e-6))])
     known = rows.groupBy("block").agg(n.alias("n"), (F.array_position(cost, F.array_min(cost)) - 1).cast("int").alias("shared")).where(F.col("n") > 1).drop("n")
-    grams = files.where(F.length("name") > 1).select(F.lower("name").alias("name")).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substring("name", i, F.lit(2)))).alias("gram"))
+    grams = files.select(F.lower("name").alias("name")).where(F.length("name") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("name") - 1), lambda i: F.substring("name", i, F.lit(2)))).alias("gram"))
     # any order gives the same pairs: grams without a rank come before those with one
     ranks = {r.gram: i for i, r in enumerate(grams.groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(RANKED_GRAMS).select("gram").collect())}
     met = rows.join(known, "block").select("id", "name", "block", "shared").mapInArrow(_meeting_places(ranks, threshold), "id bigint, norm2 bigint, bits bigint, keys array<bigint>")
     # few bytes meet in many pairs here, so partitions must not be merged by size: a stated number keeps them apart
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     p = met.select("id", "norm2", "bits", F.explode("keys").alias("key")).repartition(4 * tasks, "key")
-    common = lambda a, b: F.col(f"{a}.norm2") - F.bit_count(F.col(f"{a}.bits").bitwiseAND(F.bitwise_not(F.col(f"{b}.bits"))))
+    common = lambda a, b: (F.col(f"{a}.norm2") - F.bit_count(F.col(f"{a}.bits").bitwiseAND(F.bitwise_not(F.col(f"{b}.bits"))))).cast("double")
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (common("x", "y") * common("y", "x") * (1 + 1e-9) >= threshold * threshold * F.col("x.norm2") * F.col("y.norm2"))
     return p.alias("x").join(p.alias("y"), near).select(F.col("x.id").alias("i"), F.col("y.id").alias("j")).distinct()
 
@@ -201,10 +203,8 @@ def named_pairs(files: DataFrame, threshold: float = 0.85, min_score: int = 70)
 
     Names agree with themselves too; without case. Scored without tokens, entropy and perceptual hashes. Only files that
     have in common what ``min_score`` takes meet at all (equal digests, equal sizes, or nearly equal sizes and the rest),
-    so names are compared within such blocks; ``min_score`` must be above the 55 points that go without a size.
+    so names are compared within such blocks; up to the 55 points that go without a size, all names are compared.
     """
-    if min_score <= 55:
-        raise ValueError("min_score must be above 55")
     f = cut(scored_columns(files.drop("tokens", "entropy", "phash", "embedding")).drop("tokens", "entropy", "phash", "embedding").withColumn("id", F.monotonically_increasing_id()))
     row = lambda n, i: f.select(F.col("id").alias(i), F.struct(*[F.col(c) if c in f.columns else F.lit(None).cast(t).alias(c) for c, t in SCORED.items()]).alias(n))
     met = _named_candidates(f, threshold, min_score).join(row("x", "i"), "i").join(row("y", "j"), "j").where(F.col("x.path") != F.col("y.path"))
